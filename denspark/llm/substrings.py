@@ -24,8 +24,6 @@ from denspark.llm.words import Words, chunks, grams, mix, signed
 
 #: Words of a seed; a window of w words has w - SEED + 1 of them.
 SEED = 6
-#: Repeats that a task gathers before it passes them on, sorted by document.
-FLUSH_ROWS = 1 << 20
 
 
 def _sliding(least: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
@@ -180,46 +178,20 @@ def _extended(min_words: int):
 
 def _repeats(batches):
     """All but the earliest place of each window; rows come sorted by window, doc_id, body, start."""
-    last = None  # the window of the run, and its earliest place
-    place = None
-    rows: list[tuple[np.ndarray, ...]] = []
-    held = 0
-
-    def packed():
-        ids, body, start, n = (np.concatenate(x) for x in zip(*rows, strict=True))
-        order = np.lexsort((start, body, ids))
-        ids, body, start, n = ids[order], body[order], start[order], n[order]
-        lead = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (body[1:] != body[:-1])))
-        offsets = pa.array(np.append(lead, len(ids)).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids[lead]), pa.array(body[lead]), pa.ListArray.from_arrays(offsets, pa.array(start)), pa.ListArray.from_arrays(offsets, pa.array(n))],
-            ["doc_id", "body", "starts", "ns"],
-        )
-
+    last = place = None  # the window of the run, and its earliest place
     for batch in batches:
         if not batch.num_rows:
             continue
         window, ids, body, start, n = (column(batch, c) for c in ("window", "doc_id", "body", "start", "n"))
-        known = column(batch, "known").astype(bool)
         head = run_heads(window, last)
-        group = np.cumsum(head) - 1  # -1: goes on from the batch before
+        group = np.cumsum(head)  # 0: goes on from the batch before
         at = np.flatnonzero(head)
-        if group[0] < 0:
-            first = [np.append(place[i], x[at])[group + 1] for i, x in enumerate((ids, body, start))]
-        else:
-            first = [x[at][group] for x in (ids, body, start)]
-        same = (first[0] == ids) & (first[1] == body) & (first[2] == start)
-        last = window[-1]
-        place = tuple(x[-1] for x in first)
-        out = known | ~same
+        first = [np.append(x[0] if place is None else place[i], x[at])[group] for i, x in enumerate((ids, body, start))]
+        out = column(batch, "known").astype(bool) | (first[0] != ids) | (first[1] != body) | (first[2] != start)
+        last, place = window[-1], [x[-1] for x in first]
         if out.any():
-            rows.append((ids[out], body[out], start[out], n[out]))
-            held += int(out.sum())
-        if held >= FLUSH_ROWS:
-            yield packed()
-            rows, held = [], 0
-    if rows:
-        yield packed()
+            run = start[out].astype(np.int64) << 32 | n[out]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[out]), pa.array(body[out]), pa.array(run)], ["doc_id", "body", "run"])
 
 
 def _cut(min_words: int, as_is: bool):
@@ -230,18 +202,20 @@ def _cut(min_words: int, as_is: bool):
 
         for batch in chunks(batches):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            starts, ns = batch.column("starts").to_pylist(), batch.column("ns").to_pylist()
+            lists = batch.column("runs")
+            flat, upto = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            repeated_in = lists.is_valid().to_pylist()
             kept, words, removed = [], [], []
-            for text, first, many in zip(texts, starts, ns, strict=True):
+            for i, text in enumerate(texts):
                 parts = (text or b"").split()
                 words.append(len(parts))
-                if first is None:
+                if not repeated_in[i]:
                     kept.append(text or b"" if as_is else b" ".join(parts))
                     removed.append(0)
                     continue
                 edge = np.zeros(len(parts) + 1, np.int64)
-                begin = np.concatenate(first) if isinstance(first[0], list) else np.asarray(first)
-                count = np.concatenate(many) if isinstance(many[0], list) else np.asarray(many)
+                runs = flat[upto[i] : upto[i + 1]]
+                begin, count = runs >> 32, runs & 0xFFFFFFFF
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, np.minimum(begin + count + min_words - 1, len(parts)), -1)
                 stay = np.cumsum(edge)[:-1] == 0
@@ -283,8 +257,8 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
 
     # The text's exchange is the same here and below, so Spark writes it once.
     windows = placed.join(lists, ["doc_id", "body"], "left").mapInArrow(_extended(min_words), "window long, doc_id long, body long, start int, n int, known boolean")
-    repeats = windows.repartition("window").sortWithinPartitions("window", "doc_id", "body", "start").mapInArrow(_repeats, "doc_id long, body long, starts array<int>, ns array<int>")
-    by_document = repeats.groupBy("doc_id", "body").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ns")).alias("ns"))
+    repeats = windows.repartition("window").sortWithinPartitions("window", "doc_id", "body", "start").mapInArrow(_repeats, "doc_id long, body long, run long")
+    by_document = repeats.groupBy("doc_id", "body").agg(F.collect_list("run").alias("runs"))
 
     out = StructType([placed.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
-    return placed.join(by_document, ["doc_id", "body"], "left").select("row", "text", "starts", "ns").mapInArrow(_cut(min_words, as_is), out)
+    return placed.join(by_document, ["doc_id", "body"], "left").select("row", "text", "runs").mapInArrow(_cut(min_words, as_is), out)
