@@ -1,0 +1,34 @@
+"""Connected components of a link table, by rounds of joins; nothing is collected."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from denspark.llm.storage import checkpointed
+
+
+def least_reachable(links: DataFrame) -> DataFrame:
+    """(vertex, label) with the least vertex that can be reached, for every vertex of a link (a, b).
+
+    Alternates the large-star and the small-star step: each vertex hands the least of its
+    neighbours to the others, which halves long paths and keeps a hub's work in partial
+    aggregates.  Ends when every vertex points at its least one.  Null ends are ignored.
+    """
+    edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = checkpointed(edges)
+    before = None
+    while True:
+        # large star: the neighbours above a vertex go to the least neighbour
+        either = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = either.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = either.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # small star: the neighbours below a vertex, and itself, go to the least of them
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        edges = checkpointed(small.where("u <> v").distinct())
+        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            break
+        before = now
+    return edges.select(F.col("u").alias("vertex"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("vertex"), F.col("v").alias("label")).distinct())

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from denspark.llm.jaccard import similar_documents
+from denspark.llm.packing import pack
 from denspark.llm.substrings import remove_repeats
 
 
@@ -14,6 +16,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary, the same file on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return similar_documents(docs, percent=80, k=5).select("row.doc_id", "n_shingles", "component_id")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = pack(docs, tokenizer_path(), size=1024, end_id=2)
+    return placed.select("row.doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = remove_repeats(docs, min_words=20, as_is=False)
@@ -21,5 +41,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
 }

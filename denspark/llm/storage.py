@@ -1,0 +1,37 @@
+"""Where intermediate results go: the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where the session names none (a single machine), a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if context.isDefined():
+        return context.get()
+    own = tempfile.mkdtemp(prefix="denspark-")
+    spark.sparkContext.setCheckpointDir(f"file://{own}")
+    return f"file://{own}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows written once, without the plan that made them; survives the loss of executors."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, for what is read more than once."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
