@@ -32,7 +32,7 @@ from denspark.llm.words import Words, chunks, grams, mix, sequence_hash, signed
 #: Frequent shingles that are put last in the order; any order gives the same result.
 FREQUENT = 1 << 17
 #: Sets in one block of a tile; larger tiles are dealt out as pairs of blocks.
-BLOCK = 2048
+BLOCK = 1024
 #: Bytes of a set of numbers that may be sent to all executors; beyond it a join is used.
 SENT_BYTES = 32 << 20
 
@@ -224,65 +224,130 @@ def _crossing(batches):
         last = (shingle[-1], label[-1])
 
 
-def _tiles(measure: Measure, cover: bool):
-    """Candidate pairs of tiles: bitmaps that allow the overlap, and labels that differ."""
-
-    def candidates(batch: pa.Table):
-        vertex, n, label = (batch.column(c).to_numpy() for c in ("vertex", "n", "label"))
-        block, upper = batch.column("block").to_numpy(), batch.column("upper").to_numpy()
-        one, two = batch.column("i")[0].as_py(), batch.column("j")[0].as_py()
-        words = int(measure.words(batch.column("band")[0].as_py()))
-        maps = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(len(n), words)
-        left = np.flatnonzero(~upper) if one == two else np.flatnonzero(block == one)
-        right = np.arange(len(n)) if one == two else np.flatnonzero(block == two)
-        for a in range(0, len(left), 256):
-            x = left[a : a + 256]
-            apart = np.zeros((len(x), len(right)), np.int32)
-            for w in range(words):
-                apart += np.bitwise_count(maps[x, w][:, None] ^ maps[right, w][None, :])
-            total = n[x][:, None] + n[right][None, :]
-            ok = total - apart >= 2 * measure.overlap(n[x][:, None], n[right][None, :])
-            ok &= label[x][:, None] != label[right][None, :]
-            ok &= ~(upper[x][:, None] & upper[right][None, :])
-            if one == two:
-                # both in the band: once, by vertex
-                ok &= upper[right][None, :] | (vertex[x][:, None] < vertex[right][None, :])
-            i, j = np.nonzero(ok)
-            if len(i):
-                yield vertex[x[i]], vertex[right[j]]
-
-    def stars(a: np.ndarray, b: np.ndarray):
-        """Edges from each centre to all around it, centres taken by their number of neighbours, until each set is in a star."""
-        names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b = where[: len(a)], where[len(a) :]
-        ends = np.concatenate([a, b])
-        other = np.concatenate([b, a])[np.argsort(ends, kind="stable")]
-        degree = np.bincount(ends, minlength=len(names))
-        upto = np.cumsum(degree)
-        free = np.ones(len(names), bool)
-        for c in np.argsort(-degree, kind="stable").tolist():
-            if not free[c]:
-                continue
+def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges from each centre to all around it, centres taken by their number of neighbours, until each set is in a star."""
+    names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = where[: len(a)], where[len(a) :]
+    ends = np.concatenate([a, b])
+    other = np.concatenate([b, a])[np.argsort(ends, kind="stable")]
+    degree = np.bincount(ends, minlength=len(names))
+    upto = np.cumsum(degree)
+    free = np.ones(len(names), bool)
+    centres, rays = [], []
+    for c in np.argsort(-degree, kind="stable").tolist():
+        if free[c]:
             around = other[upto[c] - degree[c] : upto[c]]
             free[c] = free[around] = False
-            yield np.full(len(around), names[c]), names[around]
+            centres.append(np.full(len(around), names[c]))
+            rays.append(names[around])
+    return np.concatenate(centres), np.concatenate(rays)
+
+
+class _Tiles:
+    """Rows of whole tiles, sorted by tile; each row a set in the tile's band (or in the band above) with its bitmap."""
+
+    def __init__(self, measure: Measure, batch: pa.RecordBatch):
+        self.measure = measure
+        self.vertex, self.n, self.label, self.block = (column(batch, c) for c in ("vertex", "n", "label", "block"))
+        self.upper = column(batch, "upper").astype(bool)
+        self.one, self.two = column(batch, "i"), column(batch, "j")
+        bits = batch.column("bits")
+        offsets = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
+        self.words = np.frombuffer(bits.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+        self.at = (offsets - offsets[0]) // 8
+
+    def allowed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs to compare at all: other labels, sizes that can be similar, and compared in this tile and in this order only."""
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        ok = (self.label[i] != self.label[j]) & (100 * small >= self.measure.percent * large) & ~(self.upper[i] & self.upper[j])
+        return ok & ((self.one[i] == self.two[i]) | (self.block[i] != self.block[j]))
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs whose bitmaps allow the overlap that they need."""
+        size = self.at[i + 1] - self.at[i]
+        if not len(i):
+            return np.zeros(0, bool)
+        step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        apart = np.bitwise_count(self.words[np.repeat(self.at[i], size) + step] ^ self.words[np.repeat(self.at[j], size) + step])
+        apart = np.add.reduceat(apart.astype(np.int64), np.cumsum(size) - size)
+        return self.n[i] + self.n[j] - apart >= 2 * self.measure.overlap(self.n[i], self.n[j])
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = self.allowed(i, j)
+        i, j = i[ok], j[ok]
+        found = []
+        for a in range(0, len(i), 1 << 14):
+            near = self.near(i[a : a + (1 << 14)], j[a : a + (1 << 14)])
+            found.append((i[a : a + (1 << 14)][near], j[a : a + (1 << 14)][near]))
+        if not found:
+            return i, j
+        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+
+def _tiles(measure: Measure, cover: bool, small: int = 24):
+    """Candidate pairs of tiles, which come sorted; of large tiles a cover by stars if asked for."""
+
+    def found(batch: pa.RecordBatch):
+        tiles = _Tiles(measure, batch)
+        key = np.stack([column(batch, c) for c in ("shingle", "band", "i", "j")])
+        head = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
+        lead = np.flatnonzero(head)
+        size = np.diff(np.append(lead, batch.num_rows))
+        end = np.repeat(lead + size, size)
+        first, second = [], []
+        little = np.repeat(size <= small, size)
+        for d in range(1, small):
+            i = np.flatnonzero(little[: len(little) - d] & (np.arange(len(little) - d) + d < end[: len(little) - d]))
+            if not len(i):
+                break
+            i, j = tiles.pairs(i, i + d)
+            first.append(tiles.vertex[i])
+            second.append(tiles.vertex[j])
+        for t in np.flatnonzero(size > small).tolist():
+            a, b = int(lead[t]), int(lead[t] + size[t])
+            left, right = [], []
+            for row in range(a, b, 64):
+                i, j = np.meshgrid(np.arange(row, min(row + 64, b)), np.arange(row + 1, b), indexing="ij")
+                up = i < j
+                i, j = tiles.pairs(i[up], j[up])
+                left.append(tiles.vertex[i])
+                right.append(tiles.vertex[j])
+            x, y = np.concatenate(left), np.concatenate(right)
+            if cover and len(x):
+                x, y = _stars(x, y)
+            first.append(x)
+            second.append(y)
+        if not first:
+            return None
+        x, y = np.concatenate(first), np.concatenate(second)
+        return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else None
 
-    def apply(tables):
-        tables = tables if hasattr(tables, "__next__") else iter([tables])
-        for table in tables:
-            found = list(candidates(table))
-            if not found:
+    def apply(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            if cover:
-                a, b = (np.concatenate(x) for x in zip(*stars(a, b), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def grouped(table: pa.Table) -> pa.Table:
-        out = list(apply(table.combine_chunks()))
-        return pa.Table.from_batches(out, pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            key = [column(batch, c) for c in ("shingle", "band", "i", "j")]
+            changes = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
+            whole = int(changes[-1]) if len(changes) else 0
+            if held:  # the last tile may go on
+                last = [held[-1].column(c)[-1].as_py() for c in ("shingle", "band", "i", "j")]
+                if not whole and [k[0] for k in key] != last:
+                    whole = -1
+            if whole > 0:
+                held.append(batch.slice(0, whole))
+            if whole and held:
+                pairs = found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                if pairs is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                held = []
+            held.append(batch.slice(max(whole, 0)))
+        if held:
+            pairs = found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+            if pairs is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    return grouped
+    return apply
 
 
 def _wanted_sets(k: int, wanted: np.ndarray | None):
@@ -374,7 +439,8 @@ class _Join:
         dealt = tile.join(counts, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")))
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).drop("with", "blocks")
-        return dealt.groupBy("shingle", "band", "i", "j").applyInArrow(_tiles(self.measure, cover), "a long, b long").distinct()
+        order = ["shingle", "band", "i", "j"]
+        return dealt.repartition(*order).sortWithinPartitions(*order, "vertex").mapInArrow(_tiles(self.measure, cover), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
