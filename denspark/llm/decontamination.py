@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
+from pyspark.sql.types import LongType, StringType, StructType
 
 from denspark.llm.language_model import Listed
 from denspark.llm.words import SEPARATOR, chunks, mix, text_buffer
@@ -193,6 +193,38 @@ def _matches(items: Items, ids: list[int | None]):
     return apply
 
 
+def _flags(items: Items):
+    def apply(batches):
+        for batch in batches:
+            for part in chunks(iter([batch])):
+                data, offsets = normalised(part.column("text"))
+                hits = np.bincount([d for d, *_ in items.found(data, offsets)], minlength=part.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("text"), pa.array(hits + part.column("items").to_numpy())], ["row", "text", "items"])
+
+    return apply
+
+
+def _blocks(benchmark: DataFrame, item_col: str, item_text_col: str, edit_percent: int):
+    """The benchmark's items in blocks of about BLOCK_BYTES, with their ids."""
+    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where("text is not null and text <> ''")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-int(size) // BLOCK_BYTES))
+    for i in range(blocks):
+        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i)
+        rows = sorted(own.collect(), key=lambda r: (r["id"] is None, r["id"] or 0, r["text"]))
+        yield Items([r["text"] for r in rows], edit_percent), [r["id"] for r in rows]
+
+
+def count_items(docs: DataFrame, benchmark: DataFrame, edit_percent: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Every document, as ``row`` (its columns but for the text), ``text`` and ``items``, the number of benchmark items found in it; as in find_items()."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
+    given = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), F.lit(0).cast("long").alias("items"))
+    out = StructType().add("row", given.schema["row"].dataType).add("text", StringType()).add("items", LongType())
+    for items, _ in _blocks(benchmark, item_col, item_text_col, edit_percent):
+        given = given.mapInArrow(_flags(items), out)
+    return given
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, edit_percent: int = 8, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Which benchmark items stand in which documents.
 
@@ -210,14 +242,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_percent: int = 8, tex
     out = StructType().add("row", given.schema["row"].dataType)
     for name in ("item_id", "edits", "start", "end"):
         out = out.add(name, LongType())
-    items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("id"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where("text is not null and text <> ''")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(size) // BLOCK_BYTES))
-    parts = []
-    for i in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == i)
-        rows = sorted(own.collect(), key=lambda r: (r["id"] is None, r["id"], r["text"]))  # about BLOCK_BYTES
-        parts.append(given.mapInArrow(_matches(Items([r["text"] for r in rows], edit_percent), [r["id"] for r in rows]), out))
+    parts = [given.mapInArrow(_matches(items, ids), out) for items, ids in _blocks(benchmark, item_col, item_text_col, edit_percent)]
     found = parts[0]
     for other in parts[1:]:
         found = found.unionByName(other)
