@@ -1,0 +1,10 @@
+"""Exact density-based clustering of numeric points on Spark DataFrames."""
+
+
+
+
+__all__ = ["MAX_DIMS", "MIN_DIMS", "__version__"]
+__version__ = "0.1.0"
+
+#: Dimensions that are accepted without an override.
+MIN_DIMS, MAX_DIMS = 2, 20

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -16,9 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if context.isDefined():
         return context.get()
-    own = tempfile.mkdtemp(prefix="denspark-")
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
+    own = f"file://{tempfile.mkdtemp(prefix='denspark-')}"
+    spark.sparkContext.setCheckpointDir(own)
+    return own
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,11 +28,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    _release(spark)
+    return out
+
+
+def _release(spark: SparkSession) -> None:
+    """Let go of the shuffle files behind what has just been written; Spark drops them with the plans that made them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, for what is read more than once."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _release(df.sparkSession)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a written() table; nothing that is still to be computed may read it."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
