@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, LongType, StructType
 
-from denspark.llm.components import least_reachable
-from denspark.llm.storage import checkpointed, written
+from denspark.operators.components import least_reachable
+from denspark.storage import checkpointed, written
 
 #: Vectors that the clusters are fitted on, and queries of the audit.
 SAMPLE = 8192

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
-from denspark.llm.components import least_reachable
 from denspark.llm.runs import column, run_heads
-from denspark.llm.storage import checkpointed, written
 from denspark.llm.words import Words, chunks, grams, mix, sequence_hash, signed
+from denspark.operators.components import least_reachable
+from denspark.storage import checkpointed, discard, written
 
 #: Frequent shingles that are put last in the order; any order gives the same result.
 FREQUENT = 1 << 17
@@ -193,35 +193,42 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "vertex", "n", "first"])
 
 
-def _crossing(batches):
-    """Rows sorted by shingle, label: those of shingles that occur under two labels or more; a run is at most held as long as it has one label."""
-    held: list[pa.RecordBatch] = []
-    shown = last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shingle, label = column(batch, "shingle"), column(batch, "label")
-        head = run_heads(shingle, last[0] if last else None)
-        change = np.zeros(len(shingle), bool)
-        change[1:] = (label[1:] != label[:-1]) & ~head[1:]
-        change[0] = not head[0] and label[0] != last[1]
-        run = np.cumsum(head)
-        crossing = np.bincount(run, change, minlength=run[-1] + 1) > 0
-        goes_on = not head[0]
-        if goes_on and (shown or crossing[0]):
-            crossing[0] = True
-            yield from held
-        keep = crossing[run]
-        if keep.any():
-            yield batch.filter(pa.array(keep))
-        if run[-1] or not goes_on:  # a run began here
-            held = []
-        shown = bool(crossing[run[-1]])
-        if shown:
-            held = []
-        else:
-            held.append(batch.filter(pa.array(run == run[-1])))
-        last = (shingle[-1], label[-1])
+def _crossing(measure: Measure):
+    """Rows sorted by shingle and label: those of shingles that occur under two labels or more, with the set's band."""
+
+    def shown_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(measure.band(column(batch, "n")))], [*batch.schema.names, "band"])
+
+    def apply(batches):
+        held: list[pa.RecordBatch] = []  # the last run, as long as it has had one label
+        shown = last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            shingle, label = column(batch, "shingle"), column(batch, "label")
+            head = run_heads(shingle, last[0] if last else None)
+            change = np.zeros(len(shingle), bool)
+            change[1:] = (label[1:] != label[:-1]) & ~head[1:]
+            change[0] = not head[0] and label[0] != last[1]
+            run = np.cumsum(head)
+            crossing = np.bincount(run, change, minlength=run[-1] + 1) > 0
+            goes_on = not head[0]
+            if goes_on and (shown or crossing[0]):
+                crossing[0] = True
+                for rows in held:
+                    yield shown_rows(rows)
+                held = []
+            keep = crossing[run]
+            if keep.any():
+                yield shown_rows(batch.filter(pa.array(keep)))
+            if run[-1] or not goes_on:  # a run began here
+                held = []
+            shown = bool(crossing[run[-1]])
+            if not shown:
+                held.append(batch.filter(pa.array(run == run[-1])))
+            last = (shingle[-1], label[-1])
+
+    return apply
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -418,29 +425,34 @@ class _Join:
         """The pairs (a, b) that are similar. Candidates of one set are dealt out in parts."""
         pairs = checkpointed(pairs)
         vertices = pairs.select(F.explode(F.array("a", "b")).alias("vertex")).distinct()
-        sets = written(self.sets_of(vertices), "sets")
+        sets = self.sets_of(vertices)  # its exchange by vertex serves both joins
         parts = F.pmod(F.xxhash64("b"), F.lit(1 << 20))
         many = pairs.groupBy("a").agg(F.ceil(F.count("*") / 512).cast("long").alias("parts"))
         dealt = pairs.join(many, "a").select("a", "b", F.pmod(parts, F.col("parts")).alias("part"))
         centres = many.join(sets.withColumnRenamed("vertex", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "members")
         around = dealt.join(sets.withColumnRenamed("vertex", "b"), "b").select("a", "part", "b", "members")
         rows = centres.unionByName(around).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        return rows.mapInArrow(_verified(self.measure), "a long, b long")
+        return checkpointed(rows.mapInArrow(_verified(self.measure), "a long, b long"))
+
+    def crossing(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows (shingle, vertex, n) of shingles that occur under different labels, with label and band."""
+        labelled = rows.select("shingle", "vertex", "n").join(labels, "vertex", "left").select("shingle", "vertex", "n", F.coalesce("label", "vertex").alias("label"))
+        out = StructType(labelled.schema.fields).add("band", LongType())
+        return labelled.repartition("shingle").sortWithinPartitions("shingle", "label", "vertex").mapInArrow(_crossing(self.measure), out)
 
-    def candidates(self, rows: DataFrame, labels: DataFrame, vertices: DataFrame, cover: bool) -> DataFrame:
+    def candidates(self, crossing: DataFrame, vertices: DataFrame, cover: bool) -> DataFrame:
         """Pairs of sets under different labels that share a prefix shingle and whose bitmaps allow similarity."""
-        labelled = rows.join(labels, "vertex", "left").select("shingle", "vertex", "n", F.coalesce("label", "vertex").alias("label"))
-        crossing = labelled.repartition("shingle").sortWithinPartitions("shingle", "label", "vertex").mapInArrow(_crossing, labelled.schema)
-        banded = crossing.join(vertices.select("vertex", "band", "own", "below"), "vertex")
-        both = banded.select("shingle", "vertex", "n", "label", F.explode(F.array(F.struct("band", F.lit(False).alias("upper"), F.col("own").alias("bits")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper"), F.col("below").alias("bits")))).alias("side"))
-        tile = both.select("shingle", "vertex", "n", "label", "side.*")
-        counts = tile.groupBy("shingle", "band").agg(F.count("*").alias("all"), F.count_if("upper").alias("above"))
-        counts = counts.where("all > 1 and above < all").select("shingle", "band", F.ceil(F.col("all") / BLOCK).cast("long").alias("blocks"))
+        sides = F.explode(F.array(F.struct("band", F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper")))).alias("side")
+        tile = crossing.select("shingle", "vertex", "n", "label", sides).select("shingle", "vertex", "n", "label", "side.*")
+        counts = tile.groupBy("shingle", "band").agg(F.count("*").alias("all"), F.count_if("upper").alias("above"), F.min("label").alias("low"), F.max("label").alias("high"))
+        counts = counts.where("all > 1 and above < all and low < high").select("shingle", "band", F.ceil(F.col("all") / BLOCK).cast("long").alias("blocks"))
         dealt = tile.join(counts, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")))
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).drop("with", "blocks")
+        # Bitmaps come last, so that they pass one exchange.
+        mapped = dealt.join(vertices, "vertex").withColumn("bits", F.when(F.col("upper"), F.col("below")).otherwise(F.col("own"))).drop("own", "below")
         order = ["shingle", "band", "i", "j"]
-        return dealt.repartition(*order).sortWithinPartitions(*order, "vertex").mapInArrow(_tiles(self.measure, cover), "a long, b long").distinct()
+        return mapped.repartition(*order).sortWithinPartitions(*order, "vertex").mapInArrow(_tiles(self.measure, cover), "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -472,20 +484,24 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
     rows = written(prefixes.repartition("shingle").sortWithinPartitions("shingle", "vertex").mapInArrow(_shared, "shingle long, vertex long, n long, first long"), "shared")
 
     own = summaries.where("vertex is not null and n > 0")
-    vertices = own.groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("band", "own", "below")])
+    vertices = own.groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("own", "below")])
 
     join = _Join(texts, measure, k)
     least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     close = rows.where("first <> vertex").groupBy("vertex", "first").agg(F.count("*").alias("both"), F.first("n").alias("n")).where(F.col("both") * 2 >= least)
     links = join.verify(close.groupBy("vertex").agg(F.min("first").alias("a")).select("a", F.col("vertex").alias("b")))
-    links = checkpointed(links)
     labels = least_reachable(links)
+    crossing = written(join.crossing(rows, labels), "crossing")
+    discard(rows)
     for cover in (True, False):
-        pairs = checkpointed(join.candidates(rows, labels, vertices, cover))
-        if pairs.isEmpty():
-            break
-        links = checkpointed(links.union(join.verify(pairs)))
-        labels = least_reachable(links)
+        pairs = checkpointed(join.candidates(crossing, vertices, cover))
+        if not pairs.isEmpty():
+            links = checkpointed(links.union(join.verify(pairs)))
+            labels = least_reachable(links)
+        if cover:  # later rounds only look at what this one left apart
+            rows, crossing = crossing, written(join.crossing(crossing, labels), "crossing")
+            discard(rows)
+    discard(crossing)
 
     placed = summaries.where("row is not null").select("row", "vertex", "n").join(labels, "vertex", "left").withColumn("component", F.coalesce("label", "vertex"))
     smallest = placed.where("n > 0").groupBy("component").agg(F.min(f"row.`{id_col}`").alias("least"))

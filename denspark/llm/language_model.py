@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructType
 
 from denspark.llm.runs import column
-from denspark.llm.storage import written
+from denspark.storage import written
 from denspark.llm.words import Words, chunks, mix, signed
 
 #: Words that are clustered, and classes for them.

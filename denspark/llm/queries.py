@@ -16,7 +16,7 @@ from denspark.llm.language import identify
 from denspark.llm.language_model import score_documents
 from denspark.llm.packing import pack
 from denspark.llm.shards import shard
-from denspark.llm.storage import shared_folder
+from denspark.storage import shared_folder
 from denspark.llm.substrings import remove_repeats
 from denspark.llm.transcripts import conversations, parse_transcripts, train_roles
 
