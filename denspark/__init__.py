@@ -3,7 +3,10 @@
 
 
 
-__all__ = ["MAX_DIMS", "MIN_DIMS", "__version__"]
+from denspark.plans.cluster import dbscan
+from denspark.plans.estimator import SparkDBSCAN
+
+__all__ = ["MAX_DIMS", "MIN_DIMS", "SparkDBSCAN", "__version__", "dbscan"]
 __version__ = "0.1.0"
 
 #: Dimensions that are accepted without an override.

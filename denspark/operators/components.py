@@ -2,12 +2,40 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from denspark.storage import checkpointed
 
 
+#: Links up to this many (4 MB) are settled by one task; more take rounds of joins.
+ONE_TASK = 1 << 18
+
+
+def _in_one_task(batches):
+    """The same labels by minimum propagation and pointer jumping, over a bounded number of links."""
+    tables = [b for b in batches if b.num_rows]
+    if not tables:
+        return
+    u, v = (np.concatenate([b.column(c).to_numpy() for b in tables]) for c in ("u", "v"))
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(names))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (deeper := new[new]).tobytes() != new.tobytes():
+            new = deeper
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], ["vertex", "label"])
+
+
 def least_reachable(links: DataFrame) -> DataFrame:
     """(vertex, label) with the least vertex that can be reached, for every vertex of a link (a, b).
 
@@ -17,6 +45,8 @@ def least_reachable(links: DataFrame) -> DataFrame:
     """
     edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = checkpointed(edges)
+    if edges.count() <= ONE_TASK:
+        return checkpointed(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).coalesce(1).mapInArrow(_in_one_task, "vertex long, label long"))
     before = None
     while True:
         either = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -28,12 +28,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
-    out = df.checkpoint(eager=True)
-    _release(spark)
-    return out
+    return df.checkpoint(eager=True)
 
 
-def _release(spark: SparkSession) -> None:
+def release(spark: SparkSession) -> None:
     """Let go of the shuffle files behind what has just been written; Spark drops them with the plans that made them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
@@ -43,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, for what is read more than once."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _release(df.sparkSession)
+    release(df.sparkSession)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
