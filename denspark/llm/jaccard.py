@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, LongType, StructType
 from denspark.llm.runs import column, run_heads
 from denspark.llm.words import Words, chunks, grams, mix, sequence_hash, signed
 from denspark.operators.components import least_reachable
-from denspark.storage import checkpointed, discard, written
+from denspark.storage import checkpointed, discard, release, written
 
 #: Frequent shingles that are put last in the order; any order gives the same result.
 FREQUENT = 1 << 17
@@ -432,7 +432,9 @@ class _Join:
         centres = many.join(sets.withColumnRenamed("vertex", "a"), "a").select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "members")
         around = dealt.join(sets.withColumnRenamed("vertex", "b"), "b").select("a", "part", "b", "members")
         rows = centres.unionByName(around).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-        return checkpointed(rows.mapInArrow(_verified(self.measure), "a long, b long"))
+        links = checkpointed(rows.mapInArrow(_verified(self.measure), "a long, b long"))
+        release(links.sparkSession)
+        return links
 
     def crossing(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """The rows (shingle, vertex, n) of shingles that occur under different labels, with label and band."""
