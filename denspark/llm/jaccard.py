@@ -20,7 +20,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
@@ -33,6 +33,8 @@ from denspark.storage import checkpointed, discard, release, written
 FREQUENT = 1 << 17
 #: Sets in one block of a tile; larger tiles are dealt out as pairs of blocks.
 BLOCK = 1024
+#: Tiles in which a set is looked at while stars are laid.
+COVERED = 2
 #: Bytes of a set of numbers that may be sent to all executors; beyond it a join is used.
 SENT_BYTES = 32 << 20
 
@@ -60,8 +62,8 @@ class Measure:
         return np.floor(np.log(np.maximum(n, 1)) / self.step + 1e-9).astype(np.int64)
 
     def words(self, band: np.ndarray) -> np.ndarray:
-        """64-bit words of a band's bitmaps: about a bit for each member of a set."""
-        return (np.ceil(np.exp((np.asarray(band) + 1) * self.step)).astype(np.int64) >> 6) + 1
+        """64-bit words of a band's bitmaps: about two bits for each member of a set."""
+        return (np.ceil(2 * np.exp((np.asarray(band) + 1) * self.step)).astype(np.int64) >> 6) + 1
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -443,7 +445,14 @@ class _Join:
         return labelled.repartition("shingle").sortWithinPartitions("shingle", "label", "vertex").mapInArrow(_crossing(self.measure), out)
 
     def candidates(self, crossing: DataFrame, vertices: DataFrame, cover: bool) -> DataFrame:
-        """Pairs of sets under different labels that share a prefix shingle and whose bitmaps allow similarity."""
+        """Pairs of sets under different labels that share a prefix shingle and whose bitmaps allow similarity.
+
+        A cover needs each set in a few tiles only, those of its first shingles; what they
+        miss is left to the round that compares all tiles in full.
+        """
+        if cover:
+            first = Window.partitionBy("vertex").orderBy("shingle")  # a set's prefix at most
+            crossing = crossing.withColumn("place", F.row_number().over(first)).where(F.col("place") <= COVERED).drop("place")
         sides = F.explode(F.array(F.struct("band", F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper")))).alias("side")
         tile = crossing.select("shingle", "vertex", "n", "label", sides).select("shingle", "vertex", "n", "label", "side.*")
         counts = tile.groupBy("shingle", "band").agg(F.count("*").alias("all"), F.count_if("upper").alias("above"), F.min("label").alias("low"), F.max("label").alias("high"))
