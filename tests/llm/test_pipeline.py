@@ -5,9 +5,9 @@ from denspark.storage import written
 
 
 def test_stages_chain(spark, tmp_path):
-    word = lambda i: "".join(chr(97 + (i * k) % 26) for k in (3, 5, 7, 11))
-    passage = " ".join(word(i) for i in range(500, 560))
-    item = " ".join(word(i) for i in range(900, 930))
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    passage = " ".join(word(i) for i in range(50000, 50060))
+    item = " ".join(word(i) for i in range(60000, 60030))
     text = lambda a, n=120: " ".join(word(a * 131 + i) for i in range(n))
     rows = [(i, text(i), "en", "s", 0) for i in range(20)]
     rows += [(30, text(3) + " more", "en", "s", 0), (31, text(40) + " " + passage, "en", "s", 0), (32, text(41) + " " + passage, "en", "s", 0), (33, text(42) + " " + item, "en", "s", 0), (34, "123 456", None, "s", 0), (35, None, None, "s", 0)]
