@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructType
 
+from denspark.llm.frequent import most_frequent
 from denspark.llm.runs import column, run_heads
 from denspark.llm.words import Words, chunks, grams, mix, sequence_hash, signed
 from denspark.operators.components import least_reachable
@@ -488,7 +489,8 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
     out = StructType().add("row", given.schema["row"].dataType).add("vertex", LongType()).add("n", LongType()).add("band", LongType()).add("own", BinaryType()).add("below", BinaryType()).add("shingle", LongType()).add("times", LongType())
     summaries = written(given.mapInArrow(_summaries(measure, k), out), "summaries")
 
-    frequent = summaries.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "shingle").limit(FREQUENT).toPandas()
+    counted = summaries.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
+    frequent = most_frequent(counted, "times", "shingle", FREQUENT)
     shingle = frequent["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingle)
     prefixes = texts.mapInArrow(_prefixes(measure, k, shingle[order], frequent["times"].to_numpy(np.int64)[order]), "shingle long, vertex long, n long")

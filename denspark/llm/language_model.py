@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructType
 
-from denspark.llm.runs import column
-from denspark.storage import written
+from denspark.llm.frequent import most_frequent
 from denspark.llm.words import Words, chunks, mix, signed
+from denspark.storage import written
 
 #: Words that are clustered, and classes for them.
 CLUSTERED = 1024
@@ -31,8 +31,6 @@ SWEEPS = 6
 ADDED = 0.1
 ENDING = 4
 _U = np.uint64
-#: The end token; its hash is fixed and no word's bytes give it but by chance.
-END = _U(0x5EED0E0D0F0F7E97)
 
 
 class Listed:
@@ -183,7 +181,7 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
 def _frequent(limit: int):
     def apply(batches):
         keys, counts, spelled = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
-        for batch in chunks(batches.__iter__()):
+        for batch in chunks(batches):
             words = Words(batch.column("text"), lower=True)
             own, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
             take = np.flatnonzero((n > 1) | np.isin(own, keys, assume_unique=True))
@@ -312,7 +310,7 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col:
     training = given.where("not held_out").select("text")
 
     found = training.mapInArrow(_frequent(listed), "word long, n long, spelled binary").groupBy("word").agg(F.sum("n").alias("n"), F.min("spelled").alias("spelled"))
-    top = found.orderBy(F.desc("n"), "word").limit(listed).toPandas()
+    top = most_frequent(found, "n", "word", listed)
     hashes, weights = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
     spelled = [bytes(x) for x in top["spelled"]]
     k = min(clustered, len(hashes))
