@@ -152,8 +152,8 @@ def _prefixes(measure: Measure, k: int, frequent: np.ndarray, times: np.ndarray)
             if rows:
                 key, n, first = (np.array(x, kind) for x, kind in zip(zip(*keys, strict=True), (np.uint64, np.int64, np.int64), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(rows))), pa.array(np.repeat(signed(key), first)), pa.array(np.repeat(n, first))],
-                    ["shingle", "vertex", "n"],
+                    [pa.array(signed(np.concatenate(rows))), pa.array(np.repeat(signed(key), first)), pa.array(np.repeat(n, first)), pa.array(np.repeat(measure.band(n), first))],
+                    ["shingle", "vertex", "n", "band"],
                 )
 
     return apply
@@ -162,16 +162,16 @@ def _prefixes(measure: Measure, k: int, frequent: np.ndarray, times: np.ndarray)
 def _shared(batches):
     """Of the rows sorted by shingle and vertex, those of shingles of two sets or more, with the first set of each."""
     last_shingle = last_vertex = first = None
-    held: list[tuple[int, int, int]] = []  # the first set of the run, until a second comes
+    held: list[tuple[int, int, int, int]] = []  # the first set of the run, until a second comes
     for batch in batches:
         if not batch.num_rows:
             continue
-        shingle, vertex, n = (column(batch, c) for c in ("shingle", "vertex", "n"))
+        shingle, vertex, n, band = (column(batch, c) for c in ("shingle", "vertex", "n", "band"))
         again = np.zeros(len(shingle), bool)
         again[1:] = (shingle[1:] == shingle[:-1]) & (vertex[1:] == vertex[:-1])
         again[0] = shingle[0] == last_shingle and vertex[0] == last_vertex
         last_vertex_now = vertex[-1]
-        shingle, vertex, n = shingle[~again], vertex[~again], n[~again]
+        shingle, vertex, n, band = (x[~again] for x in (shingle, vertex, n, band))
         if not len(shingle):
             continue
         head = run_heads(shingle, last_shingle)
@@ -181,57 +181,19 @@ def _shared(batches):
         size = np.bincount(run + 1, minlength=len(at) + 1)
         many = size[run + 1] > 1
         many |= run < 0  # goes on from the batch before, where its first set is
-        out = [(shingle[many], vertex[many], n[many], lead[many])]
+        out = [(shingle[many], vertex[many], n[many], band[many], lead[many])]
         if held and run[0] < 0:
-            s, v, m = held[0]
-            out.insert(0, (np.array([s]), np.array([v]), np.array([m]), np.array([v])))
+            s, v, m, b = held[0]
+            out.insert(0, (np.array([s]), np.array([v]), np.array([m]), np.array([b]), np.array([v])))
             held = []
         if len(at):
             begun = at[-1]
-            held = [(shingle[begun], vertex[begun], n[begun])] if size[-1] == 1 else []
+            held = [(shingle[begun], vertex[begun], n[begun], band[begun])] if size[-1] == 1 else []
             first = vertex[begun]
         last_shingle, last_vertex = shingle[-1], last_vertex_now
         columns = [np.concatenate(x) for x in zip(*out, strict=True)]
         if len(columns[0]):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "vertex", "n", "first"])
-
-
-def _crossing(measure: Measure):
-    """Rows sorted by shingle and label: those of shingles that occur under two labels or more, with the set's band."""
-
-    def shown_rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(measure.band(column(batch, "n")))], [*batch.schema.names, "band"])
-
-    def apply(batches):
-        held: list[pa.RecordBatch] = []  # the last run, as long as it has had one label
-        shown = last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            shingle, label = column(batch, "shingle"), column(batch, "label")
-            head = run_heads(shingle, last[0] if last else None)
-            change = np.zeros(len(shingle), bool)
-            change[1:] = (label[1:] != label[:-1]) & ~head[1:]
-            change[0] = not head[0] and label[0] != last[1]
-            run = np.cumsum(head)
-            crossing = np.bincount(run, change, minlength=run[-1] + 1) > 0
-            goes_on = not head[0]
-            if goes_on and (shown or crossing[0]):
-                crossing[0] = True
-                for rows in held:
-                    yield shown_rows(rows)
-                held = []
-            keep = crossing[run]
-            if keep.any():
-                yield shown_rows(batch.filter(pa.array(keep)))
-            if run[-1] or not goes_on:  # a run began here
-                held = []
-            shown = bool(crossing[run[-1]])
-            if not shown:
-                held.append(batch.filter(pa.array(run == run[-1])))
-            last = (shingle[-1], label[-1])
-
-    return apply
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "vertex", "n", "band", "first"])
 
 
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -440,10 +402,14 @@ class _Join:
         return links
 
     def crossing(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows (shingle, vertex, n) of shingles that occur under different labels, with label and band."""
-        labelled = rows.select("shingle", "vertex", "n").join(labels, "vertex", "left").select("shingle", "vertex", "n", F.coalesce("label", "vertex").alias("label"))
-        out = StructType(labelled.schema.fields).add("band", LongType())
-        return labelled.repartition("shingle").sortWithinPartitions("shingle", "label", "vertex").mapInArrow(_crossing(self.measure), out)
+        """The rows (shingle, vertex, n, band) of shingles that occur under different labels, with the label.
+
+        The window spills, so a shingle of very many sets under one label needs no memory.
+        """
+        labelled = rows.select("shingle", "vertex", "n", "band").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+        own = Window.partitionBy("shingle")
+        ranged = labelled.withColumn("low", F.min("label").over(own)).withColumn("high", F.max("label").over(own))
+        return ranged.where("low < high").select("shingle", "vertex", "n", "band", "label")
 
     def candidates(self, crossing: DataFrame, vertices: DataFrame, cover: bool) -> DataFrame:
         """Pairs of sets under different labels that share a prefix shingle and whose bitmaps allow similarity.
@@ -493,8 +459,8 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
     frequent = most_frequent(counted, "times", "shingle", FREQUENT)
     shingle = frequent["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingle)
-    prefixes = texts.mapInArrow(_prefixes(measure, k, shingle[order], frequent["times"].to_numpy(np.int64)[order]), "shingle long, vertex long, n long")
-    rows = written(prefixes.repartition("shingle").sortWithinPartitions("shingle", "vertex").mapInArrow(_shared, "shingle long, vertex long, n long, first long"), "shared")
+    prefixes = texts.mapInArrow(_prefixes(measure, k, shingle[order], frequent["times"].to_numpy(np.int64)[order]), "shingle long, vertex long, n long, band long")
+    rows = written(prefixes.repartition("shingle").sortWithinPartitions("shingle", "vertex").mapInArrow(_shared, "shingle long, vertex long, n long, band long, first long"), "shared")
 
     own = summaries.where("vertex is not null and n > 0")
     vertices = own.groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("own", "below")])
