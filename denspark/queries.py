@@ -27,19 +27,20 @@ class Source:
     duck: tuple[str, ...]
     eps: float
     least: int
-    where: str = "true"
+    #: Rows that the SQL reads; the query reads the whole table.
+    sql_where: str = "true"
 
     @property
     def dim(self) -> int:
         return len(self.spark)
 
     def points(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet").where(self.where)
+        rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
         return to_points(rows, [F.expr(x) for x in self.spark], self.id)
 
     @property
     def p(self) -> str:
-        return "p as materialized (select " + f"{self.id}::bigint id, " + ", ".join(f"({x})::double c{i}" for i, x in enumerate(self.duck)) + f" from {self.table} where {self.where})"
+        return "p as materialized (select " + f"{self.id}::bigint id, " + ", ".join(f"({x})::double c{i}" for i, x in enumerate(self.duck)) + f" from {self.table} where {self.sql_where})"
 
 
 def _embedding(dim: int, eps: float) -> Source:

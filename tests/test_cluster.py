@@ -1,9 +1,12 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 import pytest
 
 from denspark import MAX_DIMS, MIN_DIMS, SparkDBSCAN, dbscan
 from denspark.operators.points import from_array
 from denspark.plans.cluster import cluster
+from denspark.queries import EVENTS, QUERIES
 
 
 def brute(x: np.ndarray, eps: float, least: int):
@@ -119,3 +122,19 @@ def test_estimator(spark):
     assert model.set_params(eps=2.0).get_params()["eps"] == 2.0
     with pytest.raises(NotImplementedError):
         model.fit_predict(frame, sample_weight=[1])
+
+
+def test_events_are_read_whole(spark, tmp_path):
+    r = np.random.default_rng(8)
+    hours, value = np.round(np.append(r.uniform(0, 12, 300), r.normal(6, 0.4, 100)), 3), np.round(np.append(r.uniform(0, 120, 300), r.normal(60, 4, 100)), 2)
+    rows = [(2800 + i, datetime(2024, 1, 1) + timedelta(milliseconds=round(float(h) * 3600000)), float(v)) for i, (h, v) in enumerate(zip(hours, value, strict=True))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    x = np.stack([hours, value / 10], axis=1)
+    label, core = brute(x, EVENTS.eps, EVENTS.least)
+    found = sorted(QUERIES["dbscan_events"](spark, str(tmp_path)).collect())
+    assert [(q.id, q.label, q.is_core) for q in found] == [(2800 + i, a, b) for i, (a, b) in enumerate(zip(label.tolist(), core.tolist(), strict=True))]
+    assert 0 < core.sum() < len(x)
+    cells, n = np.unique(np.floor((x - x.min(axis=0)) / (EVENTS.eps / np.sqrt(2))).astype(int), axis=0, return_counts=True)
+    dense = QUERIES["dense_cells"](spark, str(tmp_path)).collect()
+    assert sorted((q.k0, q.k1, q.n) for q in dense) == [(*c, m) for c, m in zip(cells.tolist(), n.tolist(), strict=True) if m >= EVENTS.least]
+    assert dense
