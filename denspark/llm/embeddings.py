@@ -4,9 +4,11 @@ Vectors are dealt to the nearest of the clusters of a bounded sample, each to se
 that shards overlap.  In each shard a graph is built: of a vector's nearest candidates an
 edge is kept unless another kept neighbour is closer to it by a factor.  The adjacency
 lists of a vector from all its shards are united.  A search goes greedily from the
-shard's medoid towards the query and, once it is within range, on to everything in range
-that is connected.  Recall is audited against brute force on a bounded set of queries,
-and the search widened if it falls short.  What is found is verified in double precision.
+medoids of the graph's components, and from the query's own row where the shard has it,
+towards the query and, once it is within range, on to everything in range that is
+connected.  Recall is audited against brute force on a bounded set of queries, and the
+search widened if it falls short; if that doesn't do either, shards are compared whole, in
+blocks.  What is found is verified in double precision.
 """
 
 from __future__ import annotations
@@ -30,8 +32,9 @@ LEAVES = 1024
 DEGREE = 24
 CANDIDATES = 64
 ALPHA = 1.2
-#: Recall below which the search is widened.
+#: Recall below which the search is widened, so often, and at last shards are compared whole.
 WANTED = 0.97
+WIDER = 2
 SLACK = 1e-4
 
 
@@ -94,8 +97,9 @@ def _dealt(centres: dict[int, np.ndarray], overlap: int):
 def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
     """Out-neighbours of each row: nearest first, leaving out what a kept neighbour is alpha times closer to."""
     n, out = len(x), []
-    for a in range(0, n, 256):
-        near = x[a : a + 256] @ x.T
+    lanes = max(1, min(256, (1 << 20) // candidates**2))
+    for a in range(0, n, lanes):
+        near = x[a : a + lanes] @ x.T
         near[np.arange(len(near)), np.arange(a, a + len(near))] = -2
         m = min(candidates, n - 1)
         if m < 1:
@@ -116,32 +120,63 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return out
 
 
-def _built(table: pa.Table) -> pa.Table:
-    table = table.combine_chunks()
-    ids = table.column("cls").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], _matrix(table.column("unit"), np.float32)[order]
-    edges = robust_prune(x)
-    a = np.repeat(np.arange(len(ids)), [len(e) for e in edges])
-    b = np.concatenate(edges) if edges else a
-    pair = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))  # both ways, so that nothing is unreachable from its neighbours
-    a, b = pair // max(len(ids), 1), pair % max(len(ids), 1)
-    lead = np.searchsorted(a, np.arange(len(ids) + 1))
-    return pa.table({"cls": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(lead.astype(np.int32)), pa.array(ids[b]))})
+def _built(widen: int):
+    def apply(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids = table.column("cls").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], _matrix(table.column("unit"), np.float32)[order]
+        edges = robust_prune(x, DEGREE << widen, CANDIDATES << widen)
+        a = np.repeat(np.arange(len(ids)), [len(e) for e in edges])
+        b = np.concatenate(edges) if edges else a
+        pair = np.unique(np.concatenate([a * len(ids) + b, b * len(ids) + a]))  # both ways, so that nothing is unreachable from its neighbours
+        a, b = pair // max(len(ids), 1), pair % max(len(ids), 1)
+        lead = np.searchsorted(a, np.arange(len(ids) + 1))
+        return pa.table({"cls": pa.array(ids), "near": pa.ListArray.from_arrays(pa.array(lead.astype(np.int32)), pa.array(ids[b]))})
+
+    return apply
+
 
+def components(start: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Least row of each row's component; edges go both ways."""
+    label = np.arange(len(start) - 1)
+    owner = np.repeat(label, np.diff(start))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, owner, label[edges])
+        np.minimum.at(low, label, low.copy())  # a component's old name takes on the new one
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
 
-def range_search(x: np.ndarray, start: np.ndarray, edges: np.ndarray, queries: np.ndarray, near: float, beam: int, entry: int) -> tuple[np.ndarray, np.ndarray]:
+
+def entry_points(x: np.ndarray, start: np.ndarray, edges: np.ndarray, each: int) -> np.ndarray:
+    """Of each component the row nearest to its mean, and further ones up to ``each``."""
+    label, out = components(start, edges), []
+    order = np.argsort(label, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        out.append(rows[np.argmax(x[rows] @ x[rows].mean(axis=0))])
+        out += rows[np.linspace(0, len(rows) - 1, min(each, len(rows)) - 1).astype(np.int64)].tolist()
+    return np.unique(out)
+
+
+def range_search(x: np.ndarray, start: np.ndarray, edges: np.ndarray, queries: np.ndarray, near: float, beam: int, entry: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, row) of rows at least ``near`` found for each query; edges of row i are ``edges[start[i]:start[i+1]]``.
 
+    A search starts at the rows of ``entry`` and at the query's own row, ``home``, if that isn't -1.
+
     Each step opens, for all queries at once, the best ``beam`` rows that aren't open yet
     among those in range and among the best ``beam`` seen so far.
     """
     n, m = len(x), len(queries)
     seen = np.full((m, n), -3, np.float32)
     opened = np.zeros((m, n), bool)
-    seen[:, entry] = queries @ x[entry]
+    seen[:, entry] = queries @ x[entry].T
+    here = np.flatnonzero(home >= 0)
+    seen[here, home[here]] = np.einsum("ij,ij->i", queries[here], x[home[here]])
     active = np.arange(m)
-    width = min(beam, n)
+    width = min(beam + len(entry) - 1, n)
     while len(active):
         own = seen[active]
         closed = np.where(opened[active], np.float32(-4), own)
@@ -171,7 +206,7 @@ def range_search(x: np.ndarray, start: np.ndarray, edges: np.ndarray, queries: n
     return np.nonzero(seen >= near)
 
 
-def _searched(threshold: float, beam: int):
+def _searched(threshold: float, beam: int, each: int, whole: bool):
     def apply(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         ids, asked = table.column("cls").to_numpy(), table.column("asked").to_numpy()
@@ -184,6 +219,8 @@ def _searched(threshold: float, beam: int):
         if not len(member) or not len(query):
             return none
         x, names = exact[member].astype(np.float32), ids[member]
+        if whole:
+            return found(ids, exact, query, member, lambda own: np.nonzero(exact[own].astype(np.float32) @ x.T >= threshold - SLACK))
         near = lists.take(pa.array(member))
         flat = near.flatten().to_numpy(zero_copy_only=False)
         owner = np.repeat(np.arange(len(member)), pc.list_value_length(near).to_numpy(zero_copy_only=False))
@@ -191,11 +228,17 @@ def _searched(threshold: float, beam: int):
         here = names[at] == flat  # the united list also names members of other shards
         owner, at = owner[here], at[here]
         start = np.searchsorted(owner, np.arange(len(member) + 1))
-        entry = int(np.argmax(x @ x.mean(axis=0)))
+        entry = entry_points(x, start, at, each)
+        place = np.minimum(np.searchsorted(names, ids[query]), len(names) - 1)
+        home = np.full(len(ids), -1)
+        home[query] = np.where(names[place] == ids[query], place, -1)
+        return found(ids, exact, query, member, lambda own: range_search(x, start, at, exact[own].astype(np.float32), threshold - SLACK, beam, entry, home[own]))
+
+    def found(ids, exact, query, member, search) -> pa.Table:
         pairs = []
         for a in range(0, len(query), 512):
             own = query[a : a + 512]
-            i, j = range_search(x, start, at, exact[own].astype(np.float32), threshold - SLACK, beam, entry)
+            i, j = search(own)
             q, m = own[i], member[j]
             sure = ids[q] != ids[m]
             q, m = q[sure], m[sure]
@@ -271,9 +314,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
             audit[k] = (np.array([r["cls"] for r in rows]), np.frombuffer(b"".join(r["unit"] for r in rows), np.float64).reshape(-1, k))
     truth = checkpointed(nodes.mapInArrow(_brute(audit, threshold), "a long, b long").distinct())
 
-    overlap, beam = 2, 24
-    for widen in range(3):
-        links = checkpointed(_links(nodes, centres, threshold, overlap << widen, beam << widen))
+    for widen in range(WIDER + 2):
+        links = checkpointed(_links(nodes, centres, threshold, min(widen, WIDER), widen > WIDER))
         true = truth.count()
         recall = truth.join(links, ["a", "b"], "left_semi").count() / true if true else 1.0
         if recall >= WANTED:
@@ -289,14 +331,17 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
     return units.join(named, "cls_key", "left").select("row", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == own_id, F.lit(True)).alias("kept"), F.lit(float(recall)).alias("recall"))
 
 
-def _links(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float, overlap: int, beam: int) -> DataFrame:
-    """Distinct verified pairs (a, b), a < b."""
+def _links(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float, widen: int, whole: bool) -> DataFrame:
+    """Distinct verified pairs (a, b), a < b; without a graph if shards are compared ``whole``."""
     kind = StructType().add("cls", LongType()).add("unit", BinaryType()).add("leaf", LongType()).add("first", BooleanType())
-    dealt = written(nodes.mapInArrow(_dealt(centres, overlap), kind), "dealt")
+    dealt = written(nodes.mapInArrow(_dealt(centres, 2 << widen), kind), "dealt")
     blocks = dealt.groupBy("leaf").agg(F.ceil(F.count("*") / (2 * SHARD)).cast("long").alias("blocks"), F.ceil(F.count_if("first") / (2 * SHARD)).cast("long").alias("lanes"))
     placed = dealt.join(blocks, "leaf").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("lane", F.pmod(F.xxhash64("cls", F.lit(1)), F.greatest("lanes", F.lit(1))))
-    built = placed.select("leaf", "block", "cls", "unit").groupBy("leaf", "block").applyInArrow(_built, "cls long, near array<long>")
-    united = written(built.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    members = placed.join(united, "cls").select("leaf", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("lanes", F.lit(1)) - 1)).alias("lane"), "cls", "unit", "near", F.lit(False).alias("asked"))
+    if whole:
+        listed = placed.withColumn("near", F.lit(None).cast("array<long>"))
+    else:
+        built = placed.select("leaf", "block", "cls", "unit").groupBy("leaf", "block").applyInArrow(_built(widen), "cls long, near array<long>")
+        listed = placed.join(written(built.groupBy("cls").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph"), "cls")
+    members = listed.select("leaf", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest("lanes", F.lit(1)) - 1)).alias("lane"), "cls", "unit", "near", F.lit(False).alias("asked"))
     queries = placed.where("first").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "lane", "cls", "unit", F.lit(None).cast("array<long>").alias("near"), F.lit(True).alias("asked"))
-    return members.unionByName(queries).groupBy("leaf", "block", "lane").applyInArrow(_searched(threshold, beam), "a long, b long").distinct()
+    return members.unionByName(queries).groupBy("leaf", "block", "lane").applyInArrow(_searched(threshold, 24 << widen, 1 << widen, whole), "a long, b long").distinct()

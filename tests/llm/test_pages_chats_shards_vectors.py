@@ -78,3 +78,33 @@ def test_vectors_against_brute_force(spark, monkeypatch):
     assert (got <= links).all() and got.sum() >= 0.97 * links.sum()
     assert all(found[i].n_links == 0 and found[i].component_id == i and found[i].kept for i in range(9000, 9006))
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def groups(count: int, size: int, dim: int = 32) -> np.ndarray:
+    """Groups of distinct vectors, cosine over 0.99 inside, under 0.9 between them."""
+    r = np.random.default_rng(11)
+    centre = np.linalg.qr(r.normal(size=(dim, dim)))[0][:count]
+    x = np.repeat(centre, size, axis=0) + r.normal(scale=0.01, size=(count * size, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_every_component_of_a_shard_is_entered():
+    x = groups(10, 200).astype(np.float32)
+    lists = embeddings.robust_prune(x)
+    a, b = np.repeat(np.arange(len(x)), [len(e) for e in lists]), np.concatenate(lists)
+    pair = np.unique(np.concatenate([a * len(x) + b, b * len(x) + a]))
+    start, edges = np.searchsorted(pair // len(x), np.arange(len(x) + 1)), pair % len(x)
+    entry = embeddings.entry_points(x, start, edges, 1)
+    assert set(entry // 200) == set(range(10))
+    i, j = embeddings.range_search(x, start, edges, x[::40], 0.9, 24, entry, np.full(50, -1))
+    assert len(i) == 50 * 200 and (i // 5 == j // 200).all()
+
+
+@pytest.mark.parametrize("wanted", [0.97, 1.1])  # 1.1: shards are compared whole in the end
+def test_many_groups_of_several_hundred(spark, monkeypatch, wanted):
+    monkeypatch.setattr(embeddings, "WANTED", wanted)
+    n, size = (8, 300) if wanted < 1 else (4, 100)
+    rows = [(i, v.tolist()) for i, v in enumerate(groups(n, size))]
+    found = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(found) == n * size
+    assert all(q.n_links == size - 1 and q.component_id == q.row.vec_id // size * size and q.recall == 1 for q in found)
