@@ -22,8 +22,6 @@ from pyspark.sql.types import LongType, StringType, StructType
 
 #: Share of the best path's ratio that content has to reach.
 THRESHOLD = 0.25
-#: Share of the content's text that a part has to hold for the search to go down into it.
-HOLDS = 0.75
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -182,7 +180,7 @@ def main_text(html: str | None) -> str:
         return ""
     chosen = {p for p, x in zip(order, fused, strict=True) if x >= THRESHOLD * fused.max()}
     content = [i for i in filled if blocks[i].path in chosen]
-    part = _holder([blocks[i].parents for i in content], [len(texts[i]) for i in content])
+    part = _holder([blocks[i].parents for i in content])
     kept = []
     for i in filled:
         block = blocks[i]
@@ -197,25 +195,15 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.maximum(x, 0.25 * padded[:-2] + 0.5 * x + 0.25 * padded[2:])
 
 
-def _holder(parents: list[tuple[int, ...]], sizes: list[int]) -> int | None:
-    """The deepest element around most of the content that isn't a single block of it; None if that is the whole page."""
-    total, depth, best = sum(sizes), 0, None
-    inside = list(range(len(parents)))
-    while True:
-        weight: dict[int, int] = defaultdict(int)
-        for i in inside:
-            if len(parents[i]) > depth:
-                weight[parents[i][depth]] += sizes[i]
-        if not weight or max(weight.values()) < HOLDS * total:
-            return best
-        top = max(weight, key=weight.__getitem__)
-        inside = [i for i in inside if len(parents[i]) > depth and parents[i][depth] == top]
-        own = any(len(parents[i]) == depth + 1 for i in inside)  # text of its own
-        if depth > 1 and (not own or len(inside) > 1):
-            best = top
-        if own:
-            return best
+def _holder(parents: list[tuple[int, ...]]) -> int | None:
+    """The deepest element around all of the content that isn't a single block of it; None if that is the whole page."""
+    depth, best = 0, None
+    while all(len(x) > depth for x in parents) and len({x[depth] for x in parents}) == 1:
+        own = any(len(x) == depth + 1 for x in parents)  # text of its own
+        if depth > 1 and (not own or len(parents) > 1):
+            best = parents[0][depth]
         depth += 1
+    return best
 
 
 def _extract(batches):

@@ -20,6 +20,15 @@ def test_main_text():
     assert main_text("<p>Just one, plain.") == "Just one, plain."
 
 
+def test_text_outside_the_largest_container_is_kept():
+    lead, body = "Lead, with words. " * 11 + "End.", ["Body, more words. " * 11 + f"{i}." for i in range(5)]
+    inner = "".join(f"<p>{x}</p>" for x in body)
+    for outer, tag in (("article", 'div class="body"'), ("main", "section"), ("article", "table")):
+        inside = f"<tr><td>{inner}</td></tr>" if tag == "table" else inner
+        page = f"<html><body><nav>Menu</nav><{outer}><h1>Title</h1><p>{lead}</p><{tag}>{inside}</{tag.split()[0]}></{outer}><footer>c</footer></body></html>"
+        assert main_text(page) == " ".join(["Title", lead, *body])
+
+
 def test_pages(spark):
     found = extract_main_text(spark.createDataFrame([(1, PAGE, "t"), (2, None, "t")], "page_id long, html string, text string")).collect()
     assert {r.row.page_id: r.n_chars for r in found} == {1: len(main_text(PAGE)), 2: 0}
