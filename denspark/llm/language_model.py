@@ -27,6 +27,8 @@ CLUSTERED = 1024
 CLASSES = 40
 #: Frequent words, which all tasks know; rarer ones are joined.
 LISTED = 1 << 17
+#: Words whose counts a task holds before it hands them on.
+HELD = 1 << 20
 SWEEPS = 6
 ADDED = 0.1
 ENDING = 4
@@ -178,31 +180,35 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndar
     return of
 
 
-def _frequent(limit: int):
-    def apply(batches):
-        keys, counts, spelled = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, object)
-        for batch in chunks(batches):
-            words = Words(batch.column("text"), lower=True)
-            own, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
-            take = np.flatnonzero((n > 1) | np.isin(own, keys, assume_unique=True))
-            new = np.array([words.word(i) for i in first[take]], object)
-            all_keys = np.concatenate([keys, own[take]])
-            keys, where, back = np.unique(all_keys, return_index=True, return_inverse=True)
-            counts = np.bincount(back, np.concatenate([counts, n[take]]), len(keys)).astype(np.int64)
-            spelled = np.concatenate([spelled, new])[where]
-            if len(keys) > 2 * limit:
-                top = np.sort(np.argpartition(counts, -limit)[-limit:])
-                keys, counts, spelled = keys[top], counts[top], spelled[top]
-        if len(keys) > limit // 2:
-            top = np.sort(np.argpartition(counts, -(limit // 2))[-(limit // 2) :])
-            keys, counts, spelled = keys[top], counts[top], spelled[top]
-        short = np.array([len(x) <= 64 for x in spelled], bool)
-        for a in range(0, len(keys), 10_000):
-            cut = slice(a, a + 10_000)
-            ok = short[cut]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[cut][ok])), pa.array(counts[cut][ok]), pa.array(spelled[cut][ok].tolist(), pa.binary())], ["word", "n", "spelled"])
+def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+    keys, counts, tails = (np.concatenate(x) for x in zip(*parts, strict=True))
+    keys, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    return keys, np.bincount(back, counts, len(keys)).astype(np.int64), tails[first]
 
-    return apply
+
+def _words(batches):
+    """Counts of all words, in parts that add up to them, and their last bytes: low ones the bytes, above them how many."""
+
+    def rows(keys, counts, tails):
+        for a in range(0, len(keys), 50_000):
+            cut = slice(a, a + 50_000)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys[cut])), pa.array(counts[cut]), pa.array(tails[cut])], ["word", "n", "tail"])
+
+    held, pending = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+    for batch in chunks(batches):
+        words = Words(batch.column("text"), lower=True)
+        own, first, n = np.unique(words.hashes(), return_index=True, return_counts=True)
+        end = words.end[first]
+        size = np.minimum(end - words.start[first], ENDING)
+        tail = _eight(words.data)[end - size] & ((_U(1) << (_U(8) * size.astype(np.uint64))) - _U(1))
+        held.append((own, n, tail.astype(np.int64) + (size.astype(np.int64) << 8 * ENDING)))
+        pending += len(own)
+        if pending > max(HELD // 4, len(held[0][0])):
+            held, pending = [_merged(held)], 0
+            if len(held[0][0]) > HELD:
+                yield from rows(*held[0])
+                held = [tuple(x[:0] for x in held[0])]
+    yield from rows(*_merged(held))
 
 
 def _bigrams(clustered: Listed):
@@ -309,10 +315,10 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col:
     )
     training = given.where("not held_out").select("text")
 
-    found = training.mapInArrow(_frequent(listed), "word long, n long, spelled binary").groupBy("word").agg(F.sum("n").alias("n"), F.min("spelled").alias("spelled"))
+    found = training.mapInArrow(_words, "word long, n long, tail long").groupBy("word").agg(F.sum("n").alias("n"), F.min("tail").alias("tail"))
     top = most_frequent(found, "n", "word", listed)
     hashes, weights = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
-    spelled = [bytes(x) for x in top["spelled"]]
+    spelled = [(x & ((1 << 8 * ENDING) - 1)).to_bytes(ENDING, "little")[: x >> 8 * ENDING] for x in top["tail"].tolist()]  # their ends
     k = min(clustered, len(hashes))
     classes = max(1, min(classes, k))
     small = Listed(hashes[:k])

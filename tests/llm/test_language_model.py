@@ -34,6 +34,13 @@ def test_base_is_exact_and_the_model_better(spark, listed):
     assert sum(found[i].score for i in apart) > sum(found[i].base_score for i in apart)
 
 
+def test_partitions_do_not_matter(spark):
+    frame = spark.createDataFrame(corpus(), "doc_id long, text string")
+    found = [{r.doc_id: r.score for r in score_documents(frame.repartition(n), clustered=20, classes=4).select("row.doc_id", "score").collect()} for n in (1, 100)]
+    assert found[0].keys() == found[1].keys()
+    assert all(math.isclose(x, found[1][i], rel_tol=1e-9) for i, x in found[0].items())
+
+
 def test_exchange_separates_what_never_meets():
     bigrams = np.zeros((8, 8))
     bigrams[:4, :4] = bigrams[4:, 4:] = 5
