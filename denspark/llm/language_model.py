@@ -1,8 +1,10 @@
 """Scoring by a Brown class model: P(w | before) = P(class of w | class before) P(w | class of w).
 
-The most frequent words are put into classes by the exchange algorithm on their bigram
-counts.  Other words, and words never seen, take the class that the clustered words with
-the same ending have.  Transitions and emissions are counted over all training documents
+The most frequent words, the seeds, are put into classes by the exchange algorithm on
+their bigram counts.  Every further word that is there at least FROM times is exchanged in
+by the classes of the seeds before and after it, as that algorithm would move it.  Rarer
+words, and words never seen, take the class that the clustered words with the same ending
+have.  Transitions and emissions are counted over all training documents
 and smoothed by addition; within a class one more type stands for all unseen words, so
 the probabilities of a class add up to one.
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructType
@@ -22,9 +25,10 @@ from denspark.llm.frequent import most_frequent
 from denspark.llm.words import Words, chunks, mix, signed
 from denspark.storage import written
 
-#: Words that are clustered, and classes for them.
+#: Seeds, and classes for all words; occurrences from which a word that is no seed is clustered.
 CLUSTERED = 1024
 CLASSES = 40
+FROM = 10
 #: Frequent words, which all tasks know; rarer ones are joined.
 LISTED = 1 << 17
 #: Words whose counts a task holds before it hands them on.
@@ -99,10 +103,11 @@ def _spread(words: list[bytes]):
 
 
 class Model:
-    """What all tasks get; its size is fixed by the parameters above."""
+    """What all tasks get; a hash and a class for each clustered word, the rest is fixed by the parameters above."""
 
-    def __init__(self, listed: Listed, listed_class: np.ndarray, endings: Endings, classes: int):
+    def __init__(self, listed: Listed, listed_class: np.ndarray, further: Listed, further_class: np.ndarray, endings: Endings, classes: int):
         self.listed, self.listed_class, self.endings = listed, listed_class, endings
+        self.further, self.further_class = further, further_class
         self.classes, self.end, self.start = classes, classes, classes + 1
 
     def tokens(self, words: Words):
@@ -111,6 +116,9 @@ class Model:
         at = self.listed.find(hashes)
         kind = np.append(self.listed_class, 0)[at].astype(np.int64)
         rare = np.flatnonzero(at < 0)
+        place = self.further.find(hashes[rare])
+        kind[rare] = np.append(self.further_class, 0)[place]
+        rare = rare[place < 0]
         if len(rare):
             kind[rare] = self.endings.classes(_eight(words.data), words.end[rare], (words.end - words.start)[rare])
         return hashes, at, kind
@@ -234,6 +242,84 @@ def _bigrams(clustered: Listed):
     return apply
 
 
+def _contexts(seeds: Listed, seed_class: np.ndarray, further: Listed, classes: int):
+    """How often the seeds of each class come after (slots from 0) and before (from ``classes``) each further word, from training texts."""
+    slots = 2 * classes
+
+    def apply(batches):
+        keys, counts, parts, pending = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merged():
+            every, back = np.unique(np.concatenate([keys, *[x for x, _ in parts]]), return_inverse=True)
+            return every, np.bincount(back, np.concatenate([counts, *[n for _, n in parts]]), len(every)).astype(np.int64)
+
+        def rows():
+            for a in range(0, len(keys), 50_000):
+                key = keys[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array(key // slots), pa.array((key % slots).astype(np.int32)), pa.array(counts[a : a + 50_000])], ["place", "slot", "n"])
+
+        for batch in chunks(batches):
+            words = Words(batch.column("text"), lower=True)
+            hashes = words.hashes()
+            if len(hashes) < 2:
+                continue
+            seed = seeds.find(hashes)
+            place = further.find(hashes)
+            kind = np.append(seed_class, 0)[seed]
+            same = np.ones(len(hashes) - 1, bool)
+            starts = words.first[1:-1]
+            same[starts[(starts > 0) & (starts < len(hashes))] - 1] = False
+            left = np.flatnonzero(same & (place[:-1] >= 0) & (seed[1:] >= 0))
+            right = np.flatnonzero(same & (seed[:-1] >= 0) & (place[1:] >= 0)) + 1
+            parts.append(np.unique(np.concatenate([place[left] * slots + kind[left + 1], place[right] * slots + classes + kind[right - 1]]), return_counts=True))
+            pending += len(parts[-1][0])
+            if pending > max(HELD // 4, len(keys)):
+                keys, counts = merged()
+                parts, pending = [], 0
+                if len(keys) > HELD:
+                    yield from rows()
+                    keys, counts = keys[:0], counts[:0]
+        keys, counts = merged()
+        yield from rows()
+
+    return apply
+
+
+def best_classes(table: np.ndarray, out: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """The class into which each further word is exchanged: the gain of ``exchange`` with the classes' counts as they are.
+
+    ``out[w, c]`` and ``into[w, c]`` count class c after and before word w.
+    """
+
+    def f(x):
+        return x * np.log(np.maximum(x, 1e-12))
+
+    rows, columns, crossing, fixed = table.sum(axis=1), table.sum(axis=0), np.diag(table), f(table)
+    best = np.zeros(len(out), np.int64)
+    for a in range(0, len(out), 256):
+        o, i = out[a : a + 256], into[a : a + 256]
+        gain = (f(table + o[:, None, :]) - fixed).sum(axis=2) + (f(table + i[:, :, None]) - fixed).sum(axis=1)
+        gain += f(crossing + o + i) - f(crossing + o) - f(crossing + i) + f(crossing)
+        gain -= f(rows + o.sum(axis=1, keepdims=True)) - f(rows) + f(columns + i.sum(axis=1, keepdims=True)) - f(columns)
+        best[a : a + 256] = gain.argmax(axis=1)
+    return best
+
+
+def _exchanged(table: np.ndarray):
+    """Classes of words from their contexts, gathered by word."""
+    classes = len(table)
+
+    def apply(batches):
+        for batch in batches:
+            slots, n = batch.column("slots"), batch.column("times")
+            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(slots).to_numpy(zero_copy_only=False))
+            held = np.zeros((batch.num_rows, 2 * classes))
+            np.add.at(held, (owner, slots.flatten().to_numpy(zero_copy_only=False)), n.flatten().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column("place"), pa.array(best_classes(table, held[:, :classes], held[:, classes:]).astype(np.int32))], ["place", "class"])
+
+    return apply
+
+
 def _counts(model: Model):
     """Class transitions (negative keys) and listed words, from training texts."""
     k = model.classes + 2
@@ -316,7 +402,8 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col:
     training = given.where("not held_out").select("text")
 
     found = training.mapInArrow(_words, "word long, n long, tail long").groupBy("word").agg(F.sum("n").alias("n"), F.min("tail").alias("tail"))
-    top = most_frequent(found, "n", "word", listed)
+    found = written(found, "words")
+    top = most_frequent(found, "n", "word", max(listed, clustered))
     hashes, weights = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.float64)
     spelled = [(x & ((1 << 8 * ENDING) - 1)).to_bytes(ENDING, "little")[: x >> 8 * ENDING] for x in top["tail"].tolist()]  # their ends
     k = min(clustered, len(hashes))
@@ -329,13 +416,30 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col:
     frequent_first = np.argsort(by_hash)  # small's positions, most frequent word first
     square = bigrams.reshape(max(k, 1), -1)[np.ix_(frequent_first, frequent_first)] if k else np.zeros((0, 0))
     of = exchange(square, classes) if k else np.zeros(0, np.int64)
-    endings = Endings(spelled[:k], of, weights[:k], classes)
-    data, start, end, size = _spread(spelled)
-    listed_class = endings.classes(data, end, size)
+    member = np.eye(classes)[of] if k else np.zeros((0, classes))
+    seed_class = of[by_hash]
+    further = found.where(F.col("n") >= FROM).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64)  # 8 bytes for each clustered word
+    further = Listed(np.setdiff1d(further, hashes[:k]))
+    contexts = training.mapInArrow(_contexts(small, seed_class, further, classes), "place long, slot int, n long").groupBy("place", "slot").agg(F.sum("n").alias("n"))
+    gathered = contexts.groupBy("place").agg(F.collect_list(F.struct("slot", "n")).alias("x")).select("place", F.col("x.slot").alias("slots"), F.col("x.n").alias("times"))
+    moved = gathered.mapInArrow(_exchanged(member.T @ square @ member), "place long, class int").toPandas()
+    further_class = np.full(len(further.hashes), -1, np.int64)
+    further_class[moved["place"].to_numpy(np.int64)] = moved["class"].to_numpy(np.int64)
+    further, further_class = Listed(further.hashes[further_class >= 0]), further_class[further_class >= 0]  # without a seed beside it: by its ending
+
+    at = further.find(hashes)
+    listed_class = np.append(further_class, -1)[at]
     listed_class[:k] = of
-    table = Listed(hashes)
-    order = np.argsort(hashes)
-    model = Model(table, listed_class[order], endings, classes)
+    clear = np.flatnonzero(listed_class >= 0)
+    endings = Endings([spelled[i] for i in clear], listed_class[clear], weights[clear], classes)
+    data, start, end, size = _spread(spelled)
+    listed_class = np.where(listed_class >= 0, listed_class, endings.classes(data, end, size))
+    order = np.argsort(hashes[:listed])
+    seeds_beyond = np.arange(listed, k)  # seeds that aren't listed
+    beyond = np.concatenate([further.hashes, hashes[seeds_beyond]])
+    by_hash = np.argsort(beyond)
+    table = Listed(hashes[:listed])
+    model = Model(table, listed_class[:listed][order], Listed(beyond), np.concatenate([further_class, listed_class[seeds_beyond]])[by_hash], endings, classes)
 
     counted = training.mapInArrow(_counts(model), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # listed words and classes**2 rows at most
     key, n = counted["key"].to_numpy(np.int64), counted["n"].to_numpy(np.int64)

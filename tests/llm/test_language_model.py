@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from denspark.llm.language_model import exchange, score_documents
+from denspark.llm.language_model import best_classes, exchange, score_documents
 
 
 def corpus():
@@ -41,6 +41,24 @@ def test_partitions_do_not_matter(spark):
     assert all(math.isclose(x, found[1][i], rel_tol=1e-9) for i, x in found[0].items())
 
 
+def test_words_beyond_the_seeds_are_clustered(spark):
+    """Words share all their endings; their neighbours alone tell which of two kinds of document they are from."""
+    r = np.random.default_rng(4)
+    docs, ideal = [], {}
+    for i in range(800):
+        side, seed = "ab"[i % 2], r.random(20) < 0.7
+        docs.append((i, " ".join(f"{side}{int(r.integers(0, 5))}seed" if x else f"{side}{int(r.integers(0, 30)):02}word" for x in seed)))
+        ideal[i] = float(np.where(seed, np.log10(0.7 / 5), np.log10(0.3 / 30)).sum() + 20 * math.log10(20 / 21) + math.log10(1 / 21) + math.log10(0.5))
+    found = score_documents(spark.createDataFrame(docs, "doc_id long, text string"), clustered=10, classes=2).where("held_out").select("row.doc_id", "n_tokens", "score").collect()
+    assert len(found) > 40
+    assert sum(q.score - ideal[q.doc_id] for q in found) > -0.05 * sum(q.n_tokens for q in found)
+
+
+def test_exchanged_in_as_exchange_would():
+    table = np.array([[0.0, 50], [40, 0]])
+    assert best_classes(table, np.array([[9.0, 0], [0, 9]]), np.array([[8.0, 0], [0, 8]])).tolist() == [1, 0]
+
+
 def test_exchange_separates_what_never_meets():
     bigrams = np.zeros((8, 8))
     bigrams[:4, :4] = bigrams[4:, 4:] = 5
