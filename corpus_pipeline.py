@@ -26,11 +26,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the least id; rows without an id stay as they are."""
-    component = similar_documents(docs.select("doc_id", "text"))
-    kept = component.where(F.col("row.doc_id") == F.col("component_id")).select(F.col("component_id").alias("doc_id")).distinct()
-    own = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return own.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """Of each group of near-duplicates the document with the least id, one without an id only if none has one; ties by a hash of the row."""
+    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns))
+    component = similar_documents(keyed.select("row_key", "doc_id", "text"), id_col="row_key")
+    first = F.min(F.struct(F.col("row.doc_id").isNull().alias("unnamed"), F.col("row.doc_id").alias("doc_id"), F.col("row.row_key").alias("row_key")))
+    kept = component.groupBy("component_id").agg(first.alias("x")).select("x.row_key")
+    return keyed.join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,8 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructType
 
-#: Roles that are told apart, the most frequent ones; others count as the last.
-ROLES = 8
 SMOOTHING = 0.5
 # What speaker markers say.
 SPEAKERS = {
@@ -190,7 +188,7 @@ def _parsed(model: RoleModel):
 def train_roles(labelled: DataFrame) -> RoleModel:
     """Learn from rows with ``transcript`` and ``turns``, an array of (turn, role, text)."""
     turns = labelled.select(F.explode("turns").alias("t")).select(F.coalesce("t.role", F.lit("unknown")).alias("role"))
-    roles = [r["role"] for r in turns.groupBy("role").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "role").limit(ROLES).collect()] or ["unknown"]
+    roles = [r["role"] for r in turns.groupBy("role").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "role").collect()] or ["unknown"]
     found = labelled.select("transcript", "turns").mapInArrow(_labelled_lines(roles), "kind int, a int, b int, n long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"))
     return RoleModel(roles, Counter({(r["kind"], r["a"], r["b"]): r["n"] for r in found.collect()}))  # a few hundred rows
 

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from denspark.llm import embeddings, shards
 from denspark.llm.embeddings import near_duplicate_vectors
@@ -47,6 +48,17 @@ def test_roles_are_recovered(spark):
     assert {r.rendered for r in empty} == {""}
 
 
+def test_every_role_has_its_states(spark):
+    names = "user assistant system tool narrator critic editor judge planner writer".split()
+    rows = [(c, t, role, f"Line {t} of talk {c}.") for c in range(40) for t, role in enumerate(names)]
+    plain = conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    plain = plain.withColumn("transcript", F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n"))
+    model = train_roles(plain)
+    assert sorted(model.roles) == sorted(names)
+    parsed = parse_transcripts(plain.select("conv_id", "transcript"), model).collect()
+    assert len(parsed) == 40 and all(r.roles == names for r in parsed)
+
+
 def test_merge_plan():
     assert plan_merges([], 100) == []
     sizes = [3] * 9 + [60, 20, 20, 20, 20]

@@ -28,6 +28,14 @@ def test_stages_chain(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(fourth)
 
 
+def test_rows_are_kept_by_component_not_by_id(spark):
+    text = lambda a: " ".join(f"w{a}x{i}" for i in range(80))
+    rows = [(1, text(1)), (1, text(2)), (2, text(1) + " more"), (None, text(3)), (None, text(3)), (None, text(3) + " more"), (None, text(1)), (5, text(4)), (5, text(4))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = sorted((r.doc_id or 0, r.text.split()[0]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert found == [(0, "w3x0"), (1, "w1x0"), (1, "w2x0"), (5, "w4x0")]
+
+
 def test_run_is_registered():
     import __spark_entry__
 
