@@ -88,7 +88,7 @@ def best_fit(counts: dict[int, int], size: int) -> Plan:
 
 
 def fillings(counts: dict[int, int], lengths: list[int], gap: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a gap, least waste first, of up to three pieces plus what best fit adds.
+    """Up to WIDTH undominated fillings of a gap, least waste first: a first piece of the 4 * WIDTH largest lengths that fit, and what best fit adds.
 
     A filling is dominated if another one has a piece that can stand for several of its
     pieces; so a single piece that fits exactly leaves no others.
