@@ -6,12 +6,14 @@ shingles that are frequent in the corpus last.  A tile is one such shared shingl
 one band of set sizes, with the sets of the band and of the band above; sets further
 apart in size can't be similar.  Within a tile, hashed parity bitmaps are compared: the
 bits in which two bitmaps differ bound the size of the symmetric difference from below,
-so the overlap from above.  What passes is verified on the sorted sets themselves.
-
-Equal sets are one vertex from the start, and pairs that are already known to be in one
-component are not compared again, so groups of copies cost their size, not its square:
-a first round links each set to the least set with which it shares half its prefix, a
-second links the pairs of a cover of each tile by stars, and a third compares the rest.
+so the overlap from above.  Sets with a partner that passes come back to the same tile
+as sorted arrays and are intersected exactly.
+
+Only components are asked for, so a tile keeps a forest: sets that are already joined,
+by an earlier round or in the tile, aren't compared again, and a tile hands on fewer
+links than it has sets.  Equal sets are one vertex from the start.  A first round links
+each set to the least set with which it shares half its prefix, a second settles a few
+tiles of each set, a third all tiles in which sets are still apart.
 """
 
 from __future__ import annotations
@@ -36,8 +38,10 @@ FREQUENT = 1 << 17
 BLOCK = 1024
 #: Tiles in which a set is looked at while stars are laid.
 COVERED = 2
-#: Bytes of a set of numbers that may be sent to all executors; beyond it a join is used.
-SENT_BYTES = 32 << 20
+#: Vertices that may be broadcast (as 8 bytes each, and Spark's table of them); beyond it a shuffled join is used.
+SENT_BYTES = 8 << 20
+#: Bits of a bitmap for each member of a set.
+BITS = 4
 
 
 class Measure:
@@ -63,8 +67,8 @@ class Measure:
         return np.floor(np.log(np.maximum(n, 1)) / self.step + 1e-9).astype(np.int64)
 
     def words(self, band: np.ndarray) -> np.ndarray:
-        """64-bit words of a band's bitmaps: about two bits for each member of a set."""
-        return (np.ceil(2 * np.exp((np.asarray(band) + 1) * self.step)).astype(np.int64) >> 6) + 1
+        """64-bit words of a band's bitmaps: BITS bits for each member of a set."""
+        return (np.ceil(BITS * np.exp((np.asarray(band) + 1) * self.step)).astype(np.int64) >> 6) + 1
 
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
@@ -96,7 +100,7 @@ def set_key(members: np.ndarray) -> int:
 
 
 def _summaries(measure: Measure, k: int):
-    """For each document its set's key, size and bitmaps; and shingles that are frequent in the task."""
+    """For each document its set's key and size, the set itself where the key is new in the block; and shingles that are frequent in the task."""
 
     def apply(batches):
         seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -104,15 +108,14 @@ def _summaries(measure: Measure, k: int):
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text"), k)
             n = np.array([len(x) for x in sets], np.int64)
-            bands = measure.band(n)
-            own, below = measure.words(bands), measure.words(bands - 1)
-            maps = [bitmap(x, int(w)).tobytes() if len(x) else b"" for x, w in zip(sets, own, strict=True)]
-            lower = [bitmap(x, int(w)).tobytes() if len(x) else b"" for x, w in zip(sets, below, strict=True)]
             keys = np.array([set_key(x) for x in sets], np.uint64)
+            new = np.zeros(len(keys), bool)
+            new[np.unique(keys, return_index=True)[1]] = True
+            members = [x.tobytes() if own and len(x) else None for x, own in zip(sets, new.tolist(), strict=True)]
             kind = batch.schema.field("row").type
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(signed(keys)), pa.array(n), pa.array(bands), pa.array(maps, pa.binary()), pa.array(lower, pa.binary()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())],
-                ["row", "vertex", "n", "band", "own", "below", "shingle", "times"],
+                [batch.column("row"), pa.array(signed(keys)), pa.array(n), pa.array(measure.band(n)), pa.array(members, pa.binary()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())],
+                ["row", "vertex", "n", "band", "members", "shingle", "times"],
             )
             values, count = np.unique(np.concatenate(sets), return_counts=True)
             keep = (count > 1) | np.isin(values, seen, assume_unique=True)
@@ -126,35 +129,39 @@ def _summaries(measure: Measure, k: int):
         if len(top):
             n = len(top)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(signed(seen[top])), pa.array(times[top])],
-                ["row", "vertex", "n", "band", "own", "below", "shingle", "times"],
+                [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(signed(seen[top])), pa.array(times[top])],
+                ["row", "vertex", "n", "band", "members", "shingle", "times"],
             )
 
     return apply
 
 
-def _prefixes(measure: Measure, k: int, frequent: np.ndarray, times: np.ndarray):
-    """The prefix of each set in the common order; equal sets of a block are sent once."""
+def _arrays(members: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All 64-bit numbers of a binary column without nulls, and where each row's begin."""
+    offsets = np.frombuffer(members.buffers()[1], np.int32)[members.offset : members.offset + len(members) + 1].astype(np.int64)
+    data = np.frombuffer(members.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
+    return data, (offsets - offsets[0]) // 8
+
+
+def _prefixes(measure: Measure, frequent: np.ndarray, times: np.ndarray):
+    """The prefix of each set in the common order."""
 
     def apply(batches):
-        for batch in chunks(batches):
-            rows, keys, done = [], [], set()
-            for members in shingle_sets(batch.column("text"), k):
-                key = set_key(members)
-                if not len(members) or key in done:
-                    continue
-                done.add(key)
-                at = np.minimum(np.searchsorted(frequent, members), max(len(frequent) - 1, 0))
-                late = np.where(frequent[at] == members, times[at], 0) if len(frequent) else np.zeros(len(members), np.int64)
-                first = int(measure.prefix(len(members)))
-                rows.append(members[np.argsort(late, kind="stable")[:first]] if late.any() else members[:first])
-                keys.append((key, len(members), first))
-            if rows:
-                key, n, first = (np.array(x, kind) for x, kind in zip(zip(*keys, strict=True), (np.uint64, np.int64, np.int64), strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(np.concatenate(rows))), pa.array(np.repeat(signed(key), first)), pa.array(np.repeat(n, first)), pa.array(np.repeat(measure.band(n), first))],
-                    ["shingle", "vertex", "n", "band"],
-                )
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, at = _arrays(batch.column("members"))
+            n = column(batch, "n")
+            place = np.minimum(np.searchsorted(frequent, flat), max(len(frequent) - 1, 0))
+            late = np.where(frequent[place] == flat, times[place], 0) if len(frequent) else np.zeros(len(flat), np.int64)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((late, owner))  # stable: rare ones stay sorted
+            first = measure.prefix(n)
+            keep = np.arange(len(flat)) - np.repeat(at[:-1], n) < np.repeat(first, n)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(signed(flat[order][keep])), pa.array(np.repeat(column(batch, "vertex"), first)), pa.array(np.repeat(n, first)), pa.array(np.repeat(column(batch, "band"), first))],
+                ["shingle", "vertex", "n", "band"],
+            )
 
     return apply
 
@@ -196,25 +203,6 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["shingle", "vertex", "n", "band", "first"])
 
 
-def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from each centre to all around it, centres taken by their number of neighbours, until each set is in a star."""
-    names, where = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = where[: len(a)], where[len(a) :]
-    ends = np.concatenate([a, b])
-    other = np.concatenate([b, a])[np.argsort(ends, kind="stable")]
-    degree = np.bincount(ends, minlength=len(names))
-    upto = np.cumsum(degree)
-    free = np.ones(len(names), bool)
-    centres, rays = [], []
-    for c in np.argsort(-degree, kind="stable").tolist():
-        if free[c]:
-            around = other[upto[c] - degree[c] : upto[c]]
-            free[c] = free[around] = False
-            centres.append(np.full(len(around), names[c]))
-            rays.append(names[around])
-    return np.concatenate(centres), np.concatenate(rays)
-
-
 class _Tiles:
     """Rows of whole tiles, sorted by tile; each row a set in the tile's band (or in the band above) with its bitmap."""
 
@@ -223,10 +211,7 @@ class _Tiles:
         self.vertex, self.n, self.label, self.block = (column(batch, c) for c in ("vertex", "n", "label", "block"))
         self.upper = column(batch, "upper").astype(bool)
         self.one, self.two = column(batch, "i"), column(batch, "j")
-        bits = batch.column("bits")
-        offsets = np.frombuffer(bits.buffers()[1], np.int32)[bits.offset : bits.offset + len(bits) + 1].astype(np.int64)
-        self.words = np.frombuffer(bits.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint64)
-        self.at = (offsets - offsets[0]) // 8
+        self.words, self.at = _arrays(batch.column("bits"))
 
     def allowed(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Pairs to compare at all: other labels, sizes that can be similar, and compared in this tile and in this order only."""
@@ -256,92 +241,151 @@ class _Tiles:
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _tiles(measure: Measure, cover: bool, small: int = 24):
-    """Candidate pairs of tiles, which come sorted; of large tiles a cover by stars if asked for."""
+ORDER = ("shingle", "band", "i", "j")
 
-    def found(batch: pa.RecordBatch):
-        tiles = _Tiles(measure, batch)
-        key = np.stack([column(batch, c) for c in ("shingle", "band", "i", "j")])
-        head = np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))
-        lead = np.flatnonzero(head)
-        size = np.diff(np.append(lead, batch.num_rows))
-        end = np.repeat(lead + size, size)
-        first, second = [], []
-        little = np.repeat(size <= small, size)
-        for d in range(1, small):
-            i = np.flatnonzero(little[: len(little) - d] & (np.arange(len(little) - d) + d < end[: len(little) - d]))
-            if not len(i):
-                break
-            i, j = tiles.pairs(i, i + d)
-            first.append(tiles.vertex[i])
-            second.append(tiles.vertex[j])
-        for t in np.flatnonzero(size > small).tolist():
-            a, b = int(lead[t]), int(lead[t] + size[t])
-            left, right = [], []
-            for row in range(a, b, 64):
-                i, j = np.meshgrid(np.arange(row, min(row + 64, b)), np.arange(row + 1, b), indexing="ij")
-                up = i < j
-                i, j = tiles.pairs(i[up], j[up])
-                left.append(tiles.vertex[i])
-                right.append(tiles.vertex[j])
-            x, y = np.concatenate(left), np.concatenate(right)
-            if cover and len(x):
-                x, y = _stars(x, y)
-            first.append(x)
-            second.append(y)
-        if not first:
-            return None
-        x, y = np.concatenate(first), np.concatenate(second)
-        return np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1) if len(x) else None
+
+def _whole_tiles(found, schema: list[str]):
+    """For ``mapInArrow`` over rows sorted by tile: ``found`` gets batches of whole tiles and the first row of each."""
+
+    def shown(held: list[pa.RecordBatch]):
+        batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        key = np.stack([column(batch, c) for c in ORDER])
+        lead = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        columns = found(batch, lead, np.diff(np.append(lead, batch.num_rows)))
+        if columns is not None:
+            yield pa.RecordBatch.from_arrays(columns, schema)
 
     def apply(batches):
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = [column(batch, c) for c in ("shingle", "band", "i", "j")]
+            key = [column(batch, c) for c in ORDER]
             changes = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0)) + 1
             whole = int(changes[-1]) if len(changes) else 0
             if held:  # the last tile may go on
-                last = [held[-1].column(c)[-1].as_py() for c in ("shingle", "band", "i", "j")]
+                last = [held[-1].column(c)[-1].as_py() for c in ORDER]
                 if not whole and [k[0] for k in key] != last:
                     whole = -1
             if whole > 0:
                 held.append(batch.slice(0, whole))
             if whole and held:
-                pairs = found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-                if pairs is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+                yield from shown(held)
                 held = []
             held.append(batch.slice(max(whole, 0)))
         if held:
-            pairs = found(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-            if pairs is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            yield from shown(held)
 
     return apply
 
 
-def _wanted_sets(k: int, wanted: np.ndarray | None):
-    """Sets of the wanted vertices, as 64-bit hashes; equal sets of a block once."""
+PLACE = ["shingle", "band", "i", "j", "vertex", "n", "label", "upper", "block"]
+
+
+def _hopeful(measure: Measure, small: int = 24):
+    """Of the rows of each tile, those with a partner under another label whose bitmap allows similarity."""
+
+    def found(batch: pa.RecordBatch, lead: np.ndarray, size: np.ndarray):
+        tiles = _Tiles(measure, batch)
+        hope = np.zeros(batch.num_rows, bool)
+        end = np.repeat(lead + size, size)
+        little = np.repeat(size <= small, size)
+        for d in range(1, small):
+            i = np.flatnonzero(little[: len(little) - d] & (np.arange(len(little) - d) + d < end[: len(little) - d]))
+            if not len(i):
+                break
+            i, j = tiles.pairs(i, i + d)
+            hope[i] = hope[j] = True
+        for t in np.flatnonzero(size > small).tolist():
+            a, b = int(lead[t]), int(lead[t] + size[t])
+            for row in range(a, b, 64):
+                i, j = np.meshgrid(np.arange(row, min(row + 64, b)), np.arange(row + 1, b), indexing="ij")
+                up = (i < j) & ~(hope[i] & hope[j])
+                i, j = tiles.pairs(i[up], j[up])
+                hope[i] = hope[j] = True
+        return [batch.column(c).filter(pa.array(hope)) for c in PLACE] if hope.any() else None
+
+    return _whole_tiles(found, PLACE)
+
+
+class _Forest:
+    """Sets of one tile, joined as they are found similar; a pair is intersected only while its sets are apart."""
+
+    def __init__(self, measure: Measure, vertex, n, label, upper, block, diagonal: bool, flat: np.ndarray, at: np.ndarray, band: int):
+        self.measure, self.vertex, self.n, self.upper, self.block, self.diagonal = measure, vertex, n, upper, block, diagonal
+        self.flat, self.at = flat, at
+        self.root = np.unique(label, return_inverse=True)[1]
+        words = int(measure.words(np.int64(band)))
+        many = len(vertex) > 8  # fewer are intersected at once
+        self.maps = np.stack([bitmap(flat[a:b], words) for a, b in zip(at[:-1], at[1:], strict=True)]) if many else None
+
+    def partners(self, i: int) -> np.ndarray:
+        """Later rows that may be similar to row i and aren't joined with it."""
+        small, large = np.minimum(self.n[i], self.n[i + 1 :]), np.maximum(self.n[i], self.n[i + 1 :])
+        ok = (self.root[i + 1 :] != self.root[i]) & (100 * small >= self.measure.percent * large) & ~(self.upper[i] & self.upper[i + 1 :])
+        if not self.diagonal:
+            ok &= self.block[i + 1 :] != self.block[i]
+        j = np.flatnonzero(ok) + i + 1
+        if self.maps is not None and len(j):
+            apart = np.bitwise_count(self.maps[j] ^ self.maps[i]).sum(axis=1, dtype=np.int64)
+            j = j[self.n[i] + self.n[j] - apart >= 2 * self.measure.overlap(self.n[i], self.n[j])]
+        return j
+
+    def links(self) -> list[tuple[int, int]]:
+        out = []
+        for i in range(len(self.vertex) - 1):
+            j = self.partners(i)
+            if not len(j):
+                continue
+            own = self.flat[self.at[i] : self.at[i + 1]]
+            size = self.n[j]
+            begin = np.cumsum(size) - size
+            other = self.flat[np.repeat(self.at[j] - begin, size) + np.arange(int(size.sum()))]
+            hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+            both = np.add.reduceat(hit.astype(np.int64), begin)
+            j = j[self.measure.similar(both, self.n[i], size)]
+            roots, first = np.unique(self.root[j], return_index=True)
+            out += [(self.vertex[i], self.vertex[x]) for x in j[first].tolist()]
+            self.root[np.isin(self.root, roots)] = self.root[i]
+        return out
+
+
+def _linked(measure: Measure):
+    """Verified links that join the sets of each tile, fewer than it has sets; rows come with their sets."""
+
+    def found(batch: pa.RecordBatch, lead: np.ndarray, size: np.ndarray):
+        flat, at = _arrays(batch.column("members"))
+        vertex, n, label, block, band = (column(batch, c) for c in ("vertex", "n", "label", "block", "band"))
+        upper = column(batch, "upper").astype(bool)
+        diagonal = column(batch, "i") == column(batch, "j")
+        links = []
+        for a, b in zip(lead.tolist(), (lead + size).tolist(), strict=True):
+            rows = slice(a, b)
+            if (label[rows] == label[a]).all():
+                continue
+            links += _Forest(measure, vertex[rows], n[rows], label[rows], upper[rows], block[rows], bool(diagonal[a]), flat[at[a] : at[b]], at[a : b + 1] - at[a], int(band[a])).links()
+        if not links:
+            return None
+        x, y = np.array(links, np.int64).T
+        x, y = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
+        return [pa.array(x), pa.array(y)]
+
+    return _whole_tiles(found, ["a", "b"])
+
+
+def _bitmaps(measure: Measure):
+    """The bitmaps of each set for the tiles of its own band and of the band below."""
 
     def apply(batches):
-        for batch in chunks(batches):
-            keys, members, done = [], [], set()
-            for own in shingle_sets(batch.column("text"), k):
-                key = set_key(own)
-                if not len(own) or key in done:
-                    continue
-                as_long = np.uint64(key).astype(np.int64)
-                if wanted is not None:
-                    i = int(np.searchsorted(wanted, as_long))
-                    if i == len(wanted) or wanted[i] != as_long:
-                        continue
-                done.add(key)
-                keys.append(as_long)
-                members.append(own.tobytes())
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(members, pa.binary())], ["vertex", "members"])
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, at = _arrays(batch.column("members"))
+            bands = measure.band(np.diff(at))
+            columns = []
+            for words in (measure.words(bands), measure.words(bands - 1)):
+                columns.append(pa.array([bitmap(flat[a:b], w).tobytes() for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), words.tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), *columns], ["vertex", "own", "below"])
 
     return apply
 
@@ -373,18 +417,14 @@ def _verified(measure: Measure):
 
 
 class _Join:
-    def __init__(self, texts: DataFrame, measure: Measure, k: int):
-        self.texts, self.measure, self.k = texts, measure, k
+    def __init__(self, sets: DataFrame, measure: Measure):
+        """sets: (vertex, members), a vertex perhaps more than once."""
+        self.sets, self.measure = sets, measure
 
     def sets_of(self, vertices: DataFrame) -> DataFrame:
-        """(vertex, members) of these vertices. Few are sent to all tasks; many are joined."""
-        n = vertices.count()
-        if 8 * n <= SENT_BYTES:
-            wanted = np.sort(np.array([r[0] for r in vertices.toLocalIterator()], np.int64)) if n else np.zeros(0, np.int64)
-            found = self.texts.mapInArrow(_wanted_sets(self.k, wanted), "vertex long, members binary")
-        else:
-            found = self.texts.mapInArrow(_wanted_sets(self.k, None), "vertex long, members binary").join(vertices, "vertex", "left_semi")
-        return found.groupBy("vertex").agg(F.first("members").alias("members"))
+        """(vertex, members) of these distinct vertices, each once. Few are broadcast; many are joined."""
+        wanted = F.broadcast(vertices) if 8 * vertices.count() <= SENT_BYTES else vertices
+        return self.sets.join(wanted, "vertex", "left_semi").groupBy("vertex").agg(F.first("members").alias("members"))
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar. Candidates of one set are dealt out in parts."""
@@ -404,18 +444,18 @@ class _Join:
     def crossing(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """The rows (shingle, vertex, n, band) of shingles that occur under different labels, with the label.
 
-        The window spills, so a shingle of very many sets under one label needs no memory.
+        A shingle's labels are a partial aggregate, and the join back on it can be split, so
+        a shingle of very many sets isn't one task's work.
         """
-        labelled = rows.select("shingle", "vertex", "n", "band").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-        own = Window.partitionBy("shingle")
-        ranged = labelled.withColumn("low", F.min("label").over(own)).withColumn("high", F.max("label").over(own))
-        return ranged.where("low < high").select("shingle", "vertex", "n", "band", "label")
+        labelled = checkpointed(rows.select("shingle", "vertex", "n", "band").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex")))
+        mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
+        return labelled.join(checkpointed(mixed), "shingle")
 
-    def candidates(self, crossing: DataFrame, vertices: DataFrame, cover: bool) -> DataFrame:
-        """Pairs of sets under different labels that share a prefix shingle and whose bitmaps allow similarity.
+    def links(self, crossing: DataFrame, sets: DataFrame, cover: bool) -> DataFrame:
+        """Verified links between sets under different labels that share a prefix shingle; a forest of each tile.
 
         A cover needs each set in a few tiles only, those of its first shingles; what they
-        miss is left to the round that compares all tiles in full.
+        miss is left to the round that takes all tiles.  ``sets``: (vertex, members), each once.
         """
         if cover:
             first = Window.partitionBy("vertex").orderBy("shingle")  # a set's prefix at most
@@ -426,11 +466,15 @@ class _Join:
         counts = counts.where("all > 1 and above < all and low < high").select("shingle", "band", F.ceil(F.col("all") / BLOCK).cast("long").alias("blocks"))
         dealt = tile.join(counts, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")))
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).drop("with", "blocks")
-        # Bitmaps come last, so that they pass one exchange.
-        mapped = dealt.join(vertices, "vertex").withColumn("bits", F.when(F.col("upper"), F.col("below")).otherwise(F.col("own"))).drop("own", "below")
-        order = ["shingle", "band", "i", "j"]
-        return mapped.repartition(*order).sortWithinPartitions(*order, "vertex").mapInArrow(_tiles(self.measure, cover), "a long, b long").distinct()
+        dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).select(*PLACE)
+        # Bitmaps and sets come last, so that they pass one exchange.
+        bitmaps = sets.mapInArrow(_bitmaps(self.measure), "vertex long, own binary, below binary")
+        mapped = dealt.join(bitmaps, "vertex").withColumn("bits", F.when(F.col("upper"), F.col("below")).otherwise(F.col("own"))).drop("own", "below")
+        hopeful = mapped.repartition(*ORDER).sortWithinPartitions(*ORDER, "vertex").mapInArrow(_hopeful(self.measure), mapped.select(*PLACE).schema)
+        rows = checkpointed(hopeful).join(sets, "vertex").repartition(*ORDER).sortWithinPartitions(*ORDER, "vertex")
+        found = checkpointed(rows.mapInArrow(_linked(self.measure), "a long, b long").distinct())
+        release(found.sparkSession)
+        return found
 
 
 def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -445,44 +489,48 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
 
     * null or empty text, or white space alone: an empty set, linked with nothing;
     * null id: no component can be named by it; the row gets the least id of its component, or null;
-    * repeated rows and equal texts: one set, all in one component;
+    * repeated rows and equal texts: one set, all in one component; of equal ids the least is one of them;
+    * very long texts: one set like any other, held by one task at a time;
+    * other columns keep their names inside ``row``, so none can clash;
     * an empty table gives an empty table.
     """
     measure = Measure(percent)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     given = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    texts = given.select("text")
-    out = StructType().add("row", given.schema["row"].dataType).add("vertex", LongType()).add("n", LongType()).add("band", LongType()).add("own", BinaryType()).add("below", BinaryType()).add("shingle", LongType()).add("times", LongType())
+    out = StructType().add("row", given.schema["row"].dataType).add("vertex", LongType()).add("n", LongType()).add("band", LongType()).add("members", BinaryType()).add("shingle", LongType()).add("times", LongType())
     summaries = written(given.mapInArrow(_summaries(measure, k), out), "summaries")
 
     counted = summaries.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     frequent = most_frequent(counted, "times", "shingle", FREQUENT)
     shingle = frequent["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingle)
-    prefixes = texts.mapInArrow(_prefixes(measure, k, shingle[order], frequent["times"].to_numpy(np.int64)[order]), "shingle long, vertex long, n long, band long")
+    sets = summaries.where("members is not null").select("vertex", "n", "band", "members")
+    prefixes = sets.mapInArrow(_prefixes(measure, shingle[order], frequent["times"].to_numpy(np.int64)[order]), "shingle long, vertex long, n long, band long")
     rows = written(prefixes.repartition("shingle").sortWithinPartitions("shingle", "vertex").mapInArrow(_shared, "shingle long, vertex long, n long, band long, first long"), "shared")
 
-    own = summaries.where("vertex is not null and n > 0")
-    vertices = own.groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("own", "below")])
-
-    join = _Join(texts, measure, k)
+    join = _Join(sets.select("vertex", "members"), measure)
     least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     close = rows.where("first <> vertex").groupBy("vertex", "first").agg(F.count("*").alias("both"), F.first("n").alias("n")).where(F.col("both") * 2 >= least)
     links = join.verify(close.groupBy("vertex").agg(F.min("first").alias("a")).select("a", F.col("vertex").alias("b")))
     labels = least_reachable(links)
     crossing = written(join.crossing(rows, labels), "crossing")
-    discard(rows)
+    apart = written(join.sets_of(checkpointed(crossing.select("vertex").distinct())), "apart")
     for cover in (True, False):
-        pairs = checkpointed(join.candidates(crossing, vertices, cover))
-        if not pairs.isEmpty():
-            links = checkpointed(links.union(join.verify(pairs)))
+        more = join.links(crossing, apart, cover)
+        if not more.isEmpty():
+            links = links.union(more)
             labels = least_reachable(links)
-        if cover:  # later rounds only look at what this one left apart
-            rows, crossing = crossing, written(join.crossing(crossing, labels), "crossing")
-            discard(rows)
-    discard(crossing)
-
-    placed = summaries.where("row is not null").select("row", "vertex", "n").join(labels, "vertex", "left").withColumn("component", F.coalesce("label", "vertex"))
-    smallest = placed.where("n > 0").groupBy("component").agg(F.min(f"row.`{id_col}`").alias("least"))
-    named = placed.join(smallest, "component", "left")
-    return named.select("row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col(f"row.`{id_col}`")).alias("component_id"))
+        if cover:  # the last round only looks at what this one left apart
+            before, crossing = crossing, written(join.crossing(crossing, labels), "crossing")
+            discard(before)
+    for done in (rows, crossing, apart):
+        discard(done)
+
+    # Names are given to vertices, so that copies of one set are a partial aggregate and no join meets them but the last.
+    vertices = summaries.where("vertex is not null and n > 0").groupBy("vertex").agg(F.min(f"row.`{id_col}`").alias("least"))
+    linked = checkpointed(labels.join(vertices, "vertex"))
+    smallest = checkpointed(linked.groupBy("label").agg(F.min("least").alias("component")))
+    renamed = linked.join(smallest, "label").select("vertex", "component")
+    named = checkpointed(vertices.join(renamed, "vertex", "left").select("vertex", F.coalesce("component", "least").alias("component_id")))
+    placed = summaries.where("row is not null").select("row", "vertex", "n").join(named, "vertex", "left")
+    return placed.select("row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(f"row.`{id_col}`")).alias("component_id"))

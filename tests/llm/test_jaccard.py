@@ -59,3 +59,39 @@ def test_nulls_repeats_and_clashing_names(spark):
     found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string, vertex int"))
     assert sorted((r.row.doc_id or 0, r.component_id) for r in found.collect()) == [(0, 2), (2, 2), (2, 2), (3, 3)]
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def near_copies(count, seed=6):
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    docs = []
+    for i in range(count):
+        own = list(base)
+        for place in r.sample(range(150), r.randint(1, 4)):
+            own[place] = f"x{r.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    return docs
+
+
+def test_links_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    made = []
+    for name in ("links", "verify"):
+        inner = getattr(jaccard._Join, name)
+        monkeypatch.setattr(jaccard._Join, name, lambda self, *a, inner=inner: made.append(inner(self, *a)) or made[-1])
+    seen = {}
+    for count in (150, 300, 600):
+        made.clear()
+        docs = near_copies(count)
+        found = {r.doc_id: r.component_id for r in similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).select("row.doc_id", "component_id").collect()}
+        seen[count] = sum(x.count() for x in made)
+        assert seen[count] < 8 * count
+        if count == 150:
+            assert found == {k: v[1] for k, v in brute(docs).items()}
+    assert seen[600] < 6 * seen[150]
+
+
+def test_a_very_long_text_and_its_near_copy(spark):
+    long = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-3000])), (3, " ".join(long[30_000:])), (4, "short text of a few words only")]
+    found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, found)) == [(1, 59996, 1), (2, 56996, 1), (3, 29996, 3), (4, 3, 4)]
