@@ -11,7 +11,7 @@ as sorted arrays and are intersected exactly.
 
 Only components are asked for, so a tile keeps a forest: sets that are already joined,
 by an earlier round or in the tile, aren't compared again, and a tile hands on fewer
-links than it has sets.  Equal sets are one vertex from the start.  A first round links
+links than it has sets.  Equal texts are one vertex from the start.  A first round links
 each set to the least set with which it shares half its prefix, a second settles a few
 tiles of each set, a third all tiles in which sets are still apart.
 """
@@ -41,7 +41,7 @@ COVERED = 2
 #: Vertices that may be broadcast (as 8 bytes each, and Spark's table of them); beyond it a shuffled join is used.
 SENT_BYTES = 8 << 20
 #: Bits of a bitmap for each member of a set.
-BITS = 4
+BITS = 2
 
 
 class Measure:
@@ -95,12 +95,8 @@ def bitmap(members: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def set_key(members: np.ndarray) -> int:
-    return sequence_hash(members) if len(members) else 0
-
-
 def _summaries(measure: Measure, k: int):
-    """For each document its set's key and size, the set itself where the key is new in the block; and shingles that are frequent in the task."""
+    """For each document its set's size and bitmaps; and shingles that are frequent in the task."""
 
     def apply(batches):
         seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -108,14 +104,16 @@ def _summaries(measure: Measure, k: int):
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text"), k)
             n = np.array([len(x) for x in sets], np.int64)
-            keys = np.array([set_key(x) for x in sets], np.uint64)
-            new = np.zeros(len(keys), bool)
-            new[np.unique(keys, return_index=True)[1]] = True
-            members = [x.tobytes() if own and len(x) else None for x, own in zip(sets, new.tolist(), strict=True)]
+            bands = measure.band(n)
+            new = np.zeros(len(n), bool)
+            new[np.unique(column(batch, "vertex"), return_index=True)[1]] = True  # copies in a block need no bitmap of their own
+            maps = []
+            for words in (measure.words(bands), measure.words(bands - 1)):
+                maps.append(pa.array([bitmap(x, w).tobytes() if own and len(x) else None for x, w, own in zip(sets, words.tolist(), new.tolist(), strict=True)], pa.binary()))
             kind = batch.schema.field("row").type
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(signed(keys)), pa.array(n), pa.array(measure.band(n)), pa.array(members, pa.binary()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())],
-                ["row", "vertex", "n", "band", "members", "shingle", "times"],
+                [batch.column("row"), batch.column("vertex"), pa.array(n), pa.array(bands), *maps, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())],
+                ["row", "vertex", "n", "band", "own", "below", "shingle", "times"],
             )
             values, count = np.unique(np.concatenate(sets), return_counts=True)
             keep = (count > 1) | np.isin(values, seen, assume_unique=True)
@@ -129,8 +127,8 @@ def _summaries(measure: Measure, k: int):
         if len(top):
             n = len(top)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, kind), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(signed(seen[top])), pa.array(times[top])],
-                ["row", "vertex", "n", "band", "members", "shingle", "times"],
+                [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.binary())] * 2, pa.array(signed(seen[top])), pa.array(times[top])],
+                ["row", "vertex", "n", "band", "own", "below", "shingle", "times"],
             )
 
     return apply
@@ -143,25 +141,27 @@ def _arrays(members: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, (offsets - offsets[0]) // 8
 
 
-def _prefixes(measure: Measure, frequent: np.ndarray, times: np.ndarray):
-    """The prefix of each set in the common order."""
+def _prefixes(measure: Measure, k: int, frequent: np.ndarray, times: np.ndarray):
+    """The prefix of each set in the common order; equal texts of a block are sent once."""
 
     def apply(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat, at = _arrays(batch.column("members"))
-            n = column(batch, "n")
-            place = np.minimum(np.searchsorted(frequent, flat), max(len(frequent) - 1, 0))
-            late = np.where(frequent[place] == flat, times[place], 0) if len(frequent) else np.zeros(len(flat), np.int64)
-            owner = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((late, owner))  # stable: rare ones stay sorted
-            first = measure.prefix(n)
-            keep = np.arange(len(flat)) - np.repeat(at[:-1], n) < np.repeat(first, n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(signed(flat[order][keep])), pa.array(np.repeat(column(batch, "vertex"), first)), pa.array(np.repeat(n, first)), pa.array(np.repeat(column(batch, "band"), first))],
-                ["shingle", "vertex", "n", "band"],
-            )
+        for batch in chunks(batches):
+            rows, keys, done = [], [], set()
+            for members, key in zip(shingle_sets(batch.column("text"), k), column(batch, "vertex").tolist(), strict=True):
+                if not len(members) or key in done:
+                    continue
+                done.add(key)
+                at = np.minimum(np.searchsorted(frequent, members), max(len(frequent) - 1, 0))
+                late = np.where(frequent[at] == members, times[at], 0) if len(frequent) else np.zeros(len(members), np.int64)
+                first = int(measure.prefix(len(members)))
+                rows.append(members[np.argsort(late, kind="stable")[:first]] if late.any() else members[:first])
+                keys.append((key, len(members), first))
+            if rows:
+                key, n, first = np.array(keys, np.int64).T
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(signed(np.concatenate(rows))), pa.array(np.repeat(key, first)), pa.array(np.repeat(n, first)), pa.array(np.repeat(measure.band(n), first))],
+                    ["shingle", "vertex", "n", "band"],
+                )
 
     return apply
 
@@ -283,7 +283,11 @@ PLACE = ["shingle", "band", "i", "j", "vertex", "n", "label", "upper", "block"]
 
 
 def _hopeful(measure: Measure, small: int = 24):
-    """Of the rows of each tile, those with a partner under another label whose bitmap allows similarity."""
+    """Of the rows of each tile, those with a partner under another label whose bitmap allows similarity.
+
+    Sets that share one shingle often share many: where a tile isn't dealt out in blocks, the
+    shingle gives way to a hash of what is left of the tile, so that equal tiles are one.
+    """
 
     def found(batch: pa.RecordBatch, lead: np.ndarray, size: np.ndarray):
         tiles = _Tiles(measure, batch)
@@ -303,7 +307,16 @@ def _hopeful(measure: Measure, small: int = 24):
                 up = (i < j) & ~(hope[i] & hope[j])
                 i, j = tiles.pairs(i[up], j[up])
                 hope[i] = hope[j] = True
-        return [batch.column(c).filter(pa.array(hope)) for c in PLACE] if hope.any() else None
+        if not hope.any():
+            return None
+        out = {c: batch.column(c).filter(pa.array(hope)) for c in PLACE}
+        left = np.add.reduceat(hope.astype(np.int64), lead)
+        begin = (np.cumsum(left) - left)[left > 0]
+        each = mix(mix(tiles.vertex[hope].view(np.uint64)) + tiles.upper[hope].astype(np.uint64))
+        name = np.repeat(np.add.reduceat(each, begin), left[left > 0])
+        whole = (tiles.one[hope] == 0) & (tiles.two[hope] == 0) & (tiles.block[hope] == 0)
+        out["shingle"] = pa.array(np.where(whole, signed(name), column(batch, "shingle")[hope]))
+        return [*out.values()]
 
     return _whole_tiles(found, PLACE)
 
@@ -373,19 +386,13 @@ def _linked(measure: Measure):
     return _whole_tiles(found, ["a", "b"])
 
 
-def _bitmaps(measure: Measure):
-    """The bitmaps of each set for the tiles of its own band and of the band below."""
+def _sets(k: int):
+    """(vertex, members): the sets of these texts as sorted 64-bit hashes."""
 
     def apply(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat, at = _arrays(batch.column("members"))
-            bands = measure.band(np.diff(at))
-            columns = []
-            for words in (measure.words(bands), measure.words(bands - 1)):
-                columns.append(pa.array([bitmap(flat[a:b], w).tobytes() for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), words.tolist(), strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays([batch.column("vertex"), *columns], ["vertex", "own", "below"])
+        for batch in chunks(batches):
+            members = [x.tobytes() for x in shingle_sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), pa.array(members, pa.binary())], ["vertex", "members"])
 
     return apply
 
@@ -417,14 +424,19 @@ def _verified(measure: Measure):
 
 
 class _Join:
-    def __init__(self, sets: DataFrame, measure: Measure):
-        """sets: (vertex, members), a vertex perhaps more than once."""
-        self.sets, self.measure = sets, measure
+    def __init__(self, texts: DataFrame, measure: Measure, k: int):
+        """texts: (vertex, text), a vertex perhaps more than once."""
+        self.texts, self.measure, self.k = texts, measure, k
 
     def sets_of(self, vertices: DataFrame) -> DataFrame:
-        """(vertex, members) of these distinct vertices, each once. Few are broadcast; many are joined."""
+        """(vertex, members) of these distinct vertices, each once: only their texts are cut into shingles.
+
+        The texts are found by their hash in the JVM; few vertices are broadcast, many are joined.
+        """
+        vertices = checkpointed(vertices)
         wanted = F.broadcast(vertices) if 8 * vertices.count() <= SENT_BYTES else vertices
-        return self.sets.join(wanted, "vertex", "left_semi").groupBy("vertex").agg(F.first("members").alias("members"))
+        found = self.texts.join(wanted, "vertex", "left_semi").groupBy("vertex").agg(F.first("text").alias("text"))
+        return found.mapInArrow(_sets(self.k), "vertex long, members binary")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar. Candidates of one set are dealt out in parts."""
@@ -451,11 +463,11 @@ class _Join:
         mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
         return labelled.join(checkpointed(mixed), "shingle")
 
-    def links(self, crossing: DataFrame, sets: DataFrame, cover: bool) -> DataFrame:
+    def links(self, crossing: DataFrame, bitmaps: DataFrame, cover: bool) -> DataFrame:
         """Verified links between sets under different labels that share a prefix shingle; a forest of each tile.
 
         A cover needs each set in a few tiles only, those of its first shingles; what they
-        miss is left to the round that takes all tiles.  ``sets``: (vertex, members), each once.
+        miss is left to the round that takes all tiles.
         """
         if cover:
             first = Window.partitionBy("vertex").orderBy("shingle")  # a set's prefix at most
@@ -468,10 +480,13 @@ class _Join:
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).select(*PLACE)
         # Bitmaps and sets come last, so that they pass one exchange.
-        bitmaps = sets.mapInArrow(_bitmaps(self.measure), "vertex long, own binary, below binary")
         mapped = dealt.join(bitmaps, "vertex").withColumn("bits", F.when(F.col("upper"), F.col("below")).otherwise(F.col("own"))).drop("own", "below")
         hopeful = mapped.repartition(*ORDER).sortWithinPartitions(*ORDER, "vertex").mapInArrow(_hopeful(self.measure), mapped.select(*PLACE).schema)
-        rows = checkpointed(hopeful).join(sets, "vertex").repartition(*ORDER).sortWithinPartitions(*ORDER, "vertex")
+        hopeful = checkpointed(hopeful.dropDuplicates(["shingle", "band", "i", "j", "vertex"]))
+        release(hopeful.sparkSession)
+        if hopeful.isEmpty():
+            return hopeful.select(F.col("vertex").alias("a"), F.col("vertex").alias("b"))
+        rows = hopeful.join(self.sets_of(hopeful.select("vertex").distinct()), "vertex").repartition(*ORDER).sortWithinPartitions(*ORDER, "vertex")
         found = checkpointed(rows.mapInArrow(_linked(self.measure), "a long, b long").distinct())
         release(found.sparkSession)
         return found
@@ -489,41 +504,43 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
 
     * null or empty text, or white space alone: an empty set, linked with nothing;
     * null id: no component can be named by it; the row gets the least id of its component, or null;
-    * repeated rows and equal texts: one set, all in one component; of equal ids the least is one of them;
+    * repeated rows and equal texts: one vertex (by a 64-bit hash of the text), all in one component; of equal ids the least is one of them;
     * very long texts: one set like any other, held by one task at a time;
     * other columns keep their names inside ``row``, so none can clash;
     * an empty table gives an empty table.
     """
     measure = Measure(percent)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    given = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    out = StructType().add("row", given.schema["row"].dataType).add("vertex", LongType()).add("n", LongType()).add("band", LongType()).add("members", BinaryType()).add("shingle", LongType()).add("times", LongType())
+    text = F.col(f"`{text_col}`").cast("string")
+    given = docs.select(row.alias("row"), F.xxhash64(text).alias("vertex"), text.alias("text"))
+    texts = given.select("vertex", "text")
+    out = StructType().add("row", given.schema["row"].dataType).add("vertex", LongType()).add("n", LongType()).add("band", LongType()).add("own", BinaryType()).add("below", BinaryType()).add("shingle", LongType()).add("times", LongType())
     summaries = written(given.mapInArrow(_summaries(measure, k), out), "summaries")
 
     counted = summaries.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     frequent = most_frequent(counted, "times", "shingle", FREQUENT)
     shingle = frequent["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(shingle)
-    sets = summaries.where("members is not null").select("vertex", "n", "band", "members")
-    prefixes = sets.mapInArrow(_prefixes(measure, shingle[order], frequent["times"].to_numpy(np.int64)[order]), "shingle long, vertex long, n long, band long")
+    prefixes = texts.mapInArrow(_prefixes(measure, k, shingle[order], frequent["times"].to_numpy(np.int64)[order]), "shingle long, vertex long, n long, band long")
     rows = written(prefixes.repartition("shingle").sortWithinPartitions("shingle", "vertex").mapInArrow(_shared, "shingle long, vertex long, n long, band long, first long"), "shared")
 
-    join = _Join(sets.select("vertex", "members"), measure)
+    bitmaps = summaries.where("own is not null").groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("own", "below")])
+
+    join = _Join(texts, measure, k)
     least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     close = rows.where("first <> vertex").groupBy("vertex", "first").agg(F.count("*").alias("both"), F.first("n").alias("n")).where(F.col("both") * 2 >= least)
     links = join.verify(close.groupBy("vertex").agg(F.min("first").alias("a")).select("a", F.col("vertex").alias("b")))
     labels = least_reachable(links)
     crossing = written(join.crossing(rows, labels), "crossing")
-    apart = written(join.sets_of(checkpointed(crossing.select("vertex").distinct())), "apart")
     for cover in (True, False):
-        more = join.links(crossing, apart, cover)
+        more = join.links(crossing, bitmaps, cover)
         if not more.isEmpty():
             links = links.union(more)
             labels = least_reachable(links)
         if cover:  # the last round only looks at what this one left apart
             before, crossing = crossing, written(join.crossing(crossing, labels), "crossing")
             discard(before)
-    for done in (rows, crossing, apart):
+    for done in (rows, crossing):
         discard(done)
 
     # Names are given to vertices, so that copies of one set are a partial aggregate and no join meets them but the last.

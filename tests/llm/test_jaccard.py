@@ -48,7 +48,7 @@ def test_components_match_brute_force(spark, monkeypatch, percent, block):
 
 
 def test_sets_are_joined_when_too_many_to_send(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SENT_BYTES", 0)
+    monkeypatch.setattr(jaccard, "SENT_BYTES", -1)
     docs = corpus()[:60]
     found = similar_documents(spark.createDataFrame(docs, "doc_id long, text string")).select("row.doc_id", "n_shingles", "component_id").collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(docs)
