@@ -1,8 +1,9 @@
 """Exact Jaccard self-join of shingle sets: size-banded tiles with bitmap signatures.
 
-Two sets whose Jaccard similarity is at least t share a shingle among the first
-``n - ceil(t n) + 1`` of either, in any order that is the same for all.  The order puts
-shingles that are frequent in the corpus last.  A tile is one such shared shingle and
+Two sets whose Jaccard similarity is at least t share j shingles among the first
+``n - ceil(t n) + j`` of either, in any order that is the same for all.  The order puts
+shingles that are frequent in the corpus last; j grows with the set, and sets that share
+fewer prefix shingles with sets they aren't joined with are done.  A tile is one such shared shingle and
 one band of set sizes, with the sets of the band and of the band above; sets further
 apart in size can't be similar.  Within a tile, hashed parity bitmaps are compared: the
 bits in which two bitmaps differ bound the size of the symmetric difference from below,
@@ -22,9 +23,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructType
+from pyspark.sql.types import LongType, StructType
 
 from denspark.llm.frequent import most_frequent
 from denspark.llm.runs import column, run_heads
@@ -41,7 +42,10 @@ COVERED = 2
 #: Vertices that may be broadcast (as 8 bytes each, and Spark's table of them); beyond it a shuffled join is used.
 SENT_BYTES = 8 << 20
 #: Bits of a bitmap for each member of a set.
-BITS = 2
+BITS = 4
+#: Percent of a set by which its prefix is longer than it must be. Similar sets then share that many
+#: shingles of their prefixes, so sets that share fewer with others are left out unseen.
+EXTRA = 8
 
 
 class Measure:
@@ -54,7 +58,16 @@ class Measure:
         self.step = math.log(100 / percent) if percent < 100 else math.log(2)
 
     def prefix(self, n: np.ndarray) -> np.ndarray:
-        return n - -(-self.percent * n // 100) + 1
+        return np.minimum(n, n + (-self.percent * n // 100) + np.maximum(1, EXTRA * n // 100))
+
+    def shared(self, n: Column) -> Column:
+        """The least number of a set's prefix shingles that a similar set has in its own prefix.
+
+        The j-th shingle that two sets have in common has at least |A and B| - j of A behind
+        it, so it is among the first |A| - |A and B| + j of A, and likewise of B; a partner
+        has at least ``percent`` of the size.
+        """
+        return F.greatest(F.lit(1), F.floor(F.ceil(n * self.percent / 100) * EXTRA / 100))
 
     def similar(self, both: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return 100 * both >= self.percent * (a + b - both)
@@ -95,8 +108,8 @@ def bitmap(members: np.ndarray, words: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def _summaries(measure: Measure, k: int):
-    """For each document its set's size and bitmaps; and shingles that are frequent in the task."""
+def _summaries(k: int):
+    """For each document its set's size; and shingles that are frequent in the task."""
 
     def apply(batches):
         seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -104,16 +117,10 @@ def _summaries(measure: Measure, k: int):
         for batch in chunks(batches):
             sets = shingle_sets(batch.column("text"), k)
             n = np.array([len(x) for x in sets], np.int64)
-            bands = measure.band(n)
-            new = np.zeros(len(n), bool)
-            new[np.unique(column(batch, "vertex"), return_index=True)[1]] = True  # copies in a block need no bitmap of their own
-            maps = []
-            for words in (measure.words(bands), measure.words(bands - 1)):
-                maps.append(pa.array([bitmap(x, w).tobytes() if own and len(x) else None for x, w, own in zip(sets, words.tolist(), new.tolist(), strict=True)], pa.binary()))
             kind = batch.schema.field("row").type
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("vertex"), pa.array(n), pa.array(bands), *maps, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())],
-                ["row", "vertex", "n", "band", "own", "below", "shingle", "times"],
+                [batch.column("row"), batch.column("vertex"), pa.array(n), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())],
+                ["row", "vertex", "n", "shingle", "times"],
             )
             values, count = np.unique(np.concatenate(sets), return_counts=True)
             keep = (count > 1) | np.isin(values, seen, assume_unique=True)
@@ -127,8 +134,8 @@ def _summaries(measure: Measure, k: int):
         if len(top):
             n = len(top)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 3, *[pa.nulls(n, pa.binary())] * 2, pa.array(signed(seen[top])), pa.array(times[top])],
-                ["row", "vertex", "n", "band", "own", "below", "shingle", "times"],
+                [pa.nulls(n, kind), *[pa.nulls(n, pa.int64())] * 2, pa.array(signed(seen[top])), pa.array(times[top])],
+                ["row", "vertex", "n", "shingle", "times"],
             )
 
     return apply
@@ -397,6 +404,23 @@ def _sets(k: int):
     return apply
 
 
+def _bitmaps(measure: Measure):
+    """The bitmaps of each set for the tiles of its own band and of the band below."""
+
+    def apply(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat, at = _arrays(batch.column("members"))
+            bands = measure.band(np.diff(at))
+            columns = []
+            for words in (measure.words(bands), measure.words(bands - 1)):
+                columns.append(pa.array([bitmap(flat[a:b], w).tobytes() for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), words.tolist(), strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch.column("vertex"), *columns], ["vertex", "own", "below"])
+
+    return apply
+
+
 def _verified(measure: Measure):
     """Rows sorted by group, a, b: the set of a, with no b, and then those of its candidates b."""
 
@@ -454,28 +478,33 @@ class _Join:
         return links
 
     def crossing(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
-        """The rows (shingle, vertex, n, band) of shingles that occur under different labels, with the label.
+        """The rows (shingle, vertex, n, band) of shingles that occur under different labels, with the label, if the set has enough of them.
 
         A shingle's labels are a partial aggregate, and the join back on it can be split, so
         a shingle of very many sets isn't one task's work.
         """
         labelled = checkpointed(rows.select("shingle", "vertex", "n", "band").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex")))
         mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-        return labelled.join(checkpointed(mixed), "shingle")
+        own = labelled.join(checkpointed(mixed), "shingle")
+        enough = own.groupBy("vertex").agg(F.first("n").alias("n"), F.count("*").alias("rows")).where(F.col("rows") >= self.measure.shared(F.col("n"))).select("vertex")
+        return own.join(checkpointed(enough), "vertex", "left_semi")
 
     def links(self, crossing: DataFrame, bitmaps: DataFrame, cover: bool) -> DataFrame:
         """Verified links between sets under different labels that share a prefix shingle; a forest of each tile.
 
         A cover needs each set in a few tiles only, those of its first shingles; what they
-        miss is left to the round that takes all tiles.
+        miss is left to the round that takes all tiles.  Sets that share one shingle often
+        share many: of tiles with the same rows, told by two hashes, one is taken.
         """
         if cover:
             first = Window.partitionBy("vertex").orderBy("shingle")  # a set's prefix at most
             crossing = crossing.withColumn("place", F.row_number().over(first)).where(F.col("place") <= COVERED).drop("place")
         sides = F.explode(F.array(F.struct("band", F.lit(False).alias("upper")), F.struct((F.col("band") - 1).alias("band"), F.lit(True).alias("upper")))).alias("side")
         tile = crossing.select("shingle", "vertex", "n", "label", sides).select("shingle", "vertex", "n", "label", "side.*")
-        counts = tile.groupBy("shingle", "band").agg(F.count("*").alias("all"), F.count_if("upper").alias("above"), F.min("label").alias("low"), F.max("label").alias("high"))
-        counts = counts.where("all > 1 and above < all and low < high").select("shingle", "band", F.ceil(F.col("all") / BLOCK).cast("long").alias("blocks"))
+        rows = [F.bit_xor(F.xxhash64("vertex", "upper", F.lit(i))).alias(f"rows{i}") for i in (1, 2)]
+        counts = tile.groupBy("shingle", "band").agg(F.count("*").alias("all"), F.count_if("upper").alias("above"), F.min("label").alias("low"), F.max("label").alias("high"), *rows)
+        counts = counts.where("all > 1 and above < all and low < high").groupBy("band", "all", "rows1", "rows2").agg(F.min("shingle").alias("shingle"))
+        counts = checkpointed(counts.select("shingle", "band", F.ceil(F.col("all") / BLOCK).cast("long").alias("blocks")))
         dealt = tile.join(counts, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")))
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).select(*PLACE)
@@ -514,8 +543,8 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
     text = F.col(f"`{text_col}`").cast("string")
     given = docs.select(row.alias("row"), F.xxhash64(text).alias("vertex"), text.alias("text"))
     texts = given.select("vertex", "text")
-    out = StructType().add("row", given.schema["row"].dataType).add("vertex", LongType()).add("n", LongType()).add("band", LongType()).add("own", BinaryType()).add("below", BinaryType()).add("shingle", LongType()).add("times", LongType())
-    summaries = written(given.mapInArrow(_summaries(measure, k), out), "summaries")
+    out = StructType().add("row", given.schema["row"].dataType).add("vertex", LongType()).add("n", LongType()).add("shingle", LongType()).add("times", LongType())
+    summaries = written(given.mapInArrow(_summaries(k), out), "summaries")
 
     counted = summaries.where("shingle is not null").groupBy("shingle").agg(F.sum("times").alias("times"))
     frequent = most_frequent(counted, "times", "shingle", FREQUENT)
@@ -524,14 +553,14 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
     prefixes = texts.mapInArrow(_prefixes(measure, k, shingle[order], frequent["times"].to_numpy(np.int64)[order]), "shingle long, vertex long, n long, band long")
     rows = written(prefixes.repartition("shingle").sortWithinPartitions("shingle", "vertex").mapInArrow(_shared, "shingle long, vertex long, n long, band long, first long"), "shared")
 
-    bitmaps = summaries.where("own is not null").groupBy("vertex").agg(*[F.first(c).alias(c) for c in ("own", "below")])
-
     join = _Join(texts, measure, k)
     least = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     close = rows.where("first <> vertex").groupBy("vertex", "first").agg(F.count("*").alias("both"), F.first("n").alias("n")).where(F.col("both") * 2 >= least)
     links = join.verify(close.groupBy("vertex").agg(F.min("first").alias("a")).select("a", F.col("vertex").alias("b")))
     labels = least_reachable(links)
     crossing = written(join.crossing(rows, labels), "crossing")
+    discard(rows)
+    bitmaps = written(join.sets_of(crossing.select("vertex").distinct()).mapInArrow(_bitmaps(measure), "vertex long, own binary, below binary"), "bitmaps")
     for cover in (True, False):
         more = join.links(crossing, bitmaps, cover)
         if not more.isEmpty():
@@ -540,7 +569,7 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
         if cover:  # the last round only looks at what this one left apart
             before, crossing = crossing, written(join.crossing(crossing, labels), "crossing")
             discard(before)
-    for done in (rows, crossing):
+    for done in (crossing, bitmaps):
         discard(done)
 
     # Names are given to vertices, so that copies of one set are a partial aggregate and no join meets them but the last.
