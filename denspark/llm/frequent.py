@@ -8,12 +8,16 @@ few thousand grades, however many partitions there are.
 
 from __future__ import annotations
 
-import pandas as pd
+from typing import TYPE_CHECKING
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from denspark.storage import checkpointed
 
+if TYPE_CHECKING:  # executors import this module and need no pandas
+    import pandas as pd
+
 EXACT, GRADES = 4096, 64
 
 

@@ -404,18 +404,16 @@ def _sets(k: int):
     return apply
 
 
-def _bitmaps(measure: Measure):
-    """The bitmaps of each set for the tiles of its own band and of the band below."""
+def _bitmaps(measure: Measure, k: int):
+    """The bitmaps of each text's set for the tiles of its own band and of the band below."""
 
     def apply(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            flat, at = _arrays(batch.column("members"))
-            bands = measure.band(np.diff(at))
+        for batch in chunks(batches):
+            sets = shingle_sets(batch.column("text"), k)
+            bands = measure.band(np.array([len(x) for x in sets], np.int64))
             columns = []
             for words in (measure.words(bands), measure.words(bands - 1)):
-                columns.append(pa.array([bitmap(flat[a:b], w).tobytes() for a, b, w in zip(at[:-1].tolist(), at[1:].tolist(), words.tolist(), strict=True)], pa.binary()))
+                columns.append(pa.array([bitmap(x, w).tobytes() for x, w in zip(sets, words.tolist(), strict=True)], pa.binary()))
             yield pa.RecordBatch.from_arrays([batch.column("vertex"), *columns], ["vertex", "own", "below"])
 
     return apply
@@ -452,15 +450,21 @@ class _Join:
         """texts: (vertex, text), a vertex perhaps more than once."""
         self.texts, self.measure, self.k = texts, measure, k
 
-    def sets_of(self, vertices: DataFrame) -> DataFrame:
-        """(vertex, members) of these distinct vertices, each once: only their texts are cut into shingles.
+    def texts_of(self, vertices: DataFrame) -> DataFrame:
+        """(vertex, text) of these distinct vertices, each once, so that only their texts are cut into shingles again.
 
         The texts are found by their hash in the JVM; few vertices are broadcast, many are joined.
         """
         vertices = checkpointed(vertices)
         wanted = F.broadcast(vertices) if 8 * vertices.count() <= SENT_BYTES else vertices
-        found = self.texts.join(wanted, "vertex", "left_semi").groupBy("vertex").agg(F.first("text").alias("text"))
-        return found.mapInArrow(_sets(self.k), "vertex long, members binary")
+        return self.texts.join(wanted, "vertex", "left_semi").groupBy("vertex").agg(F.first("text").alias("text"))
+
+    def sets_of(self, vertices: DataFrame) -> DataFrame:
+        """(vertex, members) of these distinct vertices, each once."""
+        return self.texts_of(vertices).mapInArrow(_sets(self.k), "vertex long, members binary")
+
+    def bitmaps_of(self, vertices: DataFrame) -> DataFrame:
+        return self.texts_of(vertices).mapInArrow(_bitmaps(self.measure, self.k), "vertex long, own binary, below binary")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar. Candidates of one set are dealt out in parts."""
@@ -560,7 +564,7 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
     labels = least_reachable(links)
     crossing = written(join.crossing(rows, labels), "crossing")
     discard(rows)
-    bitmaps = written(join.sets_of(crossing.select("vertex").distinct()).mapInArrow(_bitmaps(measure), "vertex long, own binary, below binary"), "bitmaps")
+    bitmaps = written(join.bitmaps_of(crossing.select("vertex").distinct()), "bitmaps")
     for cover in (True, False):
         more = join.links(crossing, bitmaps, cover)
         if not more.isEmpty():
