@@ -481,13 +481,16 @@ class _Join:
         release(links.sparkSession)
         return links
 
+    def labelled(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.select("shingle", "vertex", "n", "band").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+
     def crossing(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
         """The rows (shingle, vertex, n, band) of shingles that occur under different labels, with the label, if the set has enough of them.
 
         A shingle's labels are a partial aggregate, and the join back on it can be split, so
         a shingle of very many sets isn't one task's work.
         """
-        labelled = checkpointed(rows.select("shingle", "vertex", "n", "band").join(labels, "vertex", "left").withColumn("label", F.coalesce("label", "vertex")))
+        labelled = checkpointed(self.labelled(rows, labels))
         mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
         own = labelled.join(checkpointed(mixed), "shingle")
         enough = own.groupBy("vertex").agg(F.first("n").alias("n"), F.count("*").alias("rows")).where(F.col("rows") >= self.measure.shared(F.col("n"))).select("vertex")
@@ -570,8 +573,8 @@ def similar_documents(docs: DataFrame, percent: int = 80, k: int = 5, id_col: st
         if not more.isEmpty():
             links = links.union(more)
             labels = least_reachable(links)
-        if cover:  # the last round only looks at what this one left apart
-            before, crossing = crossing, written(join.crossing(crossing, labels), "crossing")
+        if cover:  # the last round leaves out the tiles that this one has joined
+            before, crossing = crossing, written(join.labelled(crossing, labels), "crossing")
             discard(before)
     for done in (crossing, bitmaps):
         discard(done)
