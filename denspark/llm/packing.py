@@ -7,6 +7,11 @@ undominated fillings of the gap are enumerated, tried in the order of their wast
 branches are cut whose waste can't beat the best solution so far; best-fit decreasing
 gives the first one.  A filling is applied as often as the counts allow.  The plan then
 hands each piece its place from its length and its rank among the pieces of that length.
+
+The search is bounded: a few descents that leave the first filling late, then branch and
+bound over all undominated fillings, each at every multiplicity, with a lower bound at
+every node.  Histograms whose tree fits the budget are settled exactly; others keep the
+best solution found.
 """
 
 from __future__ import annotations
@@ -27,8 +32,12 @@ from denspark.llm.words import chunks
 
 #: Branches of bin completion that are looked at before the best solution so far is taken.
 NODES = 4000
-#: Fillings of one gap that are tried.
+#: Fillings of one gap that are tried on a descent.
 WIDTH = 12
+#: Work of branch and bound: steps of enumeration, comparisons of fillings, and lengths at each node.
+WORK = 1_000_000
+#: Steps in which the fillings of one gap are enumerated.
+STEPS = 4000
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -125,6 +134,75 @@ def fillings(counts: dict[int, int], lengths: list[int], gap: int) -> list[tuple
     return kept
 
 
+def undominated(counts: dict[int, int], gap: int, steps: int = STEPS) -> tuple[list[tuple[int, ...]], int]:
+    """All undominated fillings of a gap, least waste first, or as many as ``steps`` give; and the work it took.
+
+    No piece that is left fits beside the pieces of a filling.
+    """
+    given = steps
+    lengths = sorted(x for x, n in counts.items() if n and x <= gap)
+    if counts.get(gap):
+        return [(gap,)], 1
+    found: list[tuple[int, ...]] = []
+    stack: list[tuple[tuple[int, ...], int, int]] = [((), gap, len(lengths))]
+    while stack and steps:
+        steps -= 1
+        filling, room, upto = stack.pop()
+        fits = False
+        for i in range(min(upto, bisect.bisect_right(lengths, room))):
+            x = lengths[i]
+            if counts[x] > filling.count(x):
+                fits = True
+                stack.append(((*filling, x), room - x, i + 1))
+        if not fits and not any(x <= room and counts[x] > filling.count(x) for x in lengths):
+            found.append(filling)
+    kept: list[tuple[int, ...]] = []
+    for filling in sorted(found, key=lambda f: (-sum(f), len(f), tuple(-x for x in f))):
+        if steps > -given and not any(_dominates(other, filling) for other in kept):
+            kept.append(filling)
+        steps -= len(kept)
+    return kept, given - steps
+
+
+def _branch_and_bound(counts: dict[int, int], size: int, bound: int, best: Plan, fewest: int) -> Plan:
+    """The best plan that WORK finds by completing the bin of the largest piece in every undominated way."""
+    work = WORK
+
+    def children(left: dict[int, int], used: int, done):
+        nonlocal work
+        top = max(left)
+        left = dict(left)
+        left[top] -= 1
+        choices, took = undominated(left, size - top)
+        work -= took
+        for filling in choices or [()]:
+            need = Counter((top, *filling))
+            left[top] += 1
+            most = min(left[x] // k for x, k in need.items())
+            left[top] -= 1
+            for n in range(most, 0, -1):
+                rest = {x: m - n * need[x] + (x == top) for x, m in left.items()}
+                yield {x: m for x, m in rest.items() if m}, used + n, ((top, *filling), n, done)
+
+    stack = [children(counts, 0, None)] if counts else []
+    while stack and work > 0 and fewest > bound:
+        child = next(stack[-1], None)
+        if child is None:
+            stack.pop()
+            continue
+        left, used, done = child
+        work -= 10 * len(left)
+        if not left:
+            if used < fewest:
+                fewest, best = used, []
+                while done:
+                    best.append((done[0], done[1]))
+                    done = done[2]
+        elif used + lower_bound(left, size) < fewest:
+            stack.append(children(left, used, done))
+    return best
+
+
 def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     """Whether the pieces of b can be laid into those of a, as bins, first fit; each piece of a is used up once."""
     if sum(a) < sum(b):
@@ -141,7 +219,7 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
 
 
 def bin_completion(counts: dict[int, int], size: int, nodes: int = NODES) -> Plan:
-    """As few bins as the search finds; it ends where the lower bound is met or after ``nodes`` branches."""
+    """As few bins as the search finds; it ends where the lower bound is met, or where the descents' ``nodes`` and WORK are used up."""
     counts = {k: v for k, v in counts.items() if v}
     bound = lower_bound(counts, size)
     best = best_fit(counts, size)
@@ -180,7 +258,7 @@ def bin_completion(counts: dict[int, int], size: int, nodes: int = NODES) -> Pla
         budget = nodes
         if fewest > bound:
             solve(dict(counts), sorted(counts), 0, [], total, late)
-    return best
+    return _branch_and_bound(counts, size, bound, best, fewest) if fewest > bound else best
 
 
 def _take(left: dict[int, int], top: int, filling: tuple[int, ...]) -> tuple[tuple[int, ...], int]:
@@ -269,8 +347,10 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 2, tex
     of ``docs`` but for the text), ``piece``, ``start``, ``length``, ``ids_crc32``,
     ``sequence_id``, ``offset`` and, if asked for, ``ids`` as little-endian 32-bit numbers.
 
-    Null and empty texts are the end token alone.  Repeated rows are documents of their own.
-    An empty table gives an empty table.
+    Null and empty texts are the end token alone; null ids are as good as any.  Repeated rows
+    are documents of their own.  Ties are placed in the order of tasks and rows.  Other
+    columns stay inside ``row``, so no name can clash.  A very long text is many pieces, held
+    by one task at a time.  An empty table gives an empty table.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
     given = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))

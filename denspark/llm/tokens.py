@@ -3,8 +3,9 @@
 The vocabulary is the JSON file of a public byte-level BPE tokenizer.  Such a tokenizer
 never joins bytes across a single space that a visible character follows, so a text is
 cut there, and each distinct part is encoded once for as long as a bounded cache holds
-it.  The ids are those of the ``tokenizers`` library on the whole text, with the strings
-of special tokens treated as ordinary text; a test holds the two against each other.
+it.  Strings of added tokens are cut out of the text first and get their own ids.  The ids
+are those of the ``tokenizers`` library on the whole text; a test holds the two against
+each other.
 """
 
 from __future__ import annotations
@@ -34,7 +35,12 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             described = json.load(file)
-        special = {x["content"] for x in described.get("added_tokens", [])}
+        added = described.get("added_tokens", [])
+        if any(x.get(c) for x in added for c in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on what stands beside them aren't supported")
+        special = {x["content"]: x["id"] for x in added}
+        self._special = special
+        self._added = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         letters = _byte_of_letter()
         ranks = {bytes(letters[c] for c in piece): i for piece, i in described["model"]["vocab"].items() if piece not in special}
         self._bpe = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -49,6 +55,10 @@ class Encoder:
         self._used = 0
         self._at = np.zeros(1 << 16, np.int64)
         self._size = np.zeros(1 << 16, np.int64)
+        for content, i in self._special.items():  # as a part of its own; no other part can be equal to it
+            k = len(self._number)
+            self._number[content], self._pool[k], self._at[k], self._size[k] = k, i, k, 1
+        self._used = len(self._number)
 
     def _learn(self, parts: list[str]) -> None:
         """Encode new parts. One that starts a text has a space before it as its key, others have none."""
@@ -70,6 +80,12 @@ class Encoder:
         self._used += len(ids)
         self._number.update(zip([*inside, *(x for x in parts if x[:1] == " ")], range(known, known + n), strict=True))
 
+    @staticmethod
+    def _parts(text: str) -> list[str]:
+        own = _CUT.split(text) if _ODD.search(text) else text.split(" ")
+        own[0] = " " + own[0]
+        return own
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after another, and the number of ids of each text."""
         if len(self._number) > CACHE_PARTS:
@@ -79,10 +95,16 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            own = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            own[0] = " " + own[0]
-            counts[i] = len(own)
-            parts += own
+            before = len(parts)
+            if any(x in text for x in self._special):
+                for k, piece in enumerate(self._added.split(text)):
+                    if k % 2:
+                        parts.append(piece)
+                    elif piece:
+                        parts += self._parts(piece)
+            else:
+                parts += self._parts(text)
+            counts[i] = len(parts) - before
         new = set(parts).difference(self._number)
         if new:
             self._learn(sorted(new))
