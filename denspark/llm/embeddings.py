@@ -35,6 +35,8 @@ ALPHA = 1.2
 #: Recall below which the search is widened, so often, and at last shards are compared whole.
 WANTED = 0.97
 WIDER = 2
+#: Recall below which there is no result at all.
+REQUIRED = 0.9
 SLACK = 1e-4
 
 
@@ -281,6 +283,10 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
     * null or zero vectors, or with null or non-finite components, and null ids: linked with nothing;
     * vectors of different length are not compared;
     * equal vectors are one node of the graph and are linked with each other; repeated rows are vectors of their own;
+    * an id with several different vectors: each is a node of its own, named by that id;
+    * ties: a component takes the least id, an edge the earlier row; a very long vector is one row like any other;
+    * other columns keep their names inside ``row``, so none can clash;
+    * a recall under ``REQUIRED`` even with shards compared whole: an error instead of a result;
     * an empty table gives an empty table.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in vectors.columns if c != vector_col])
@@ -289,8 +295,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
     units = given.select("row", sound.alias("embedding")).mapInArrow(_units, StructType().add("row", given.schema["row"].dataType).add("unit", BinaryType()))
     own_id = F.col(f"row.`{id_col}`").cast("long")
     units = written(units.withColumn("cls_key", F.when(own_id.isNotNull(), F.sha2("unit", 256))), "units")
-    classes = units.where("cls_key is not null").groupBy("cls_key").agg(F.min(own_id).alias("cls"), F.count("*").alias("times"), F.first("unit").alias("unit"))
-    classes = written(classes, "classes")
+    classes = units.where("cls_key is not null").groupBy("cls_key").agg(F.min(own_id).alias("least"), F.count("*").alias("times"), F.first("unit").alias("unit"))
+    classes = written(classes.withColumn("cls", F.xxhash64("cls_key")), "classes")  # ids needn't be unique, so nodes aren't named by them
     nodes = classes.select("cls", "unit")
     size = F.octet_length("unit")
     counts = {int(r["size"]) // 8: int(r["n"]) for r in nodes.groupBy(size.alias("size")).agg(F.count("*").alias("n")).collect()}
@@ -306,7 +312,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
         leaves = max(1, min(LEAVES, 2 * n // SHARD, len(own) // 8))
         centres[k] = fit_centres(own, leaves) if len(own) else np.zeros((1, k), np.float32)
 
-    asked = nodes.where(F.pmod("cls", F.lit(20)) == 0).orderBy(F.xxhash64("cls"), "cls").limit(AUDIT).collect()
+    queries = classes.where(F.pmod("least", F.lit(20)) == 0).select("cls", "unit")
+    lot = F.shiftrightunsigned(F.xxhash64("cls", F.lit("audit")), 11).cast("double") / F.lit(float(1 << 53))
+    asked = queries.where(lot < min(1.0, AUDIT / max(1, queries.count()))).collect()  # about AUDIT rows
     audit = {}
     for k in counts:
         rows = [r for r in asked if len(r["unit"]) == 8 * k]
@@ -320,13 +328,17 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: s
         recall = truth.join(links, ["a", "b"], "left_semi").count() / true if true else 1.0
         if recall >= WANTED:
             break
+    if recall < REQUIRED:
+        raise RuntimeError(f"of the audit's links {recall:.3f} were found, {REQUIRED} are required")
 
     either = links.select(F.col("a").alias("cls"), F.col("b").alias("other")).union(links.select(F.col("b").alias("cls"), F.col("a").alias("other")))
     times = classes.select("cls", "times")
     around = either.join(times.withColumnRenamed("cls", "other"), "other").groupBy("cls").agg(F.sum("times").alias("linked"))
     labels = least_reachable(links).withColumnRenamed("vertex", "cls")
-    named = classes.select("cls_key", "cls", "times").join(around, "cls", "left").join(labels, "cls", "left")
-    named = named.select("cls_key", (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), F.coalesce("label", "cls").alias("component_id"))
+    placed = checkpointed(labels.join(classes.select("cls", "least"), "cls"))
+    names = placed.join(checkpointed(placed.groupBy("label").agg(F.min("least").alias("component_id"))), "label").select("cls", "component_id")
+    named = classes.select("cls_key", "cls", "least", "times").join(around, "cls", "left").join(names, "cls", "left")
+    named = checkpointed(named.select("cls_key", (F.coalesce("linked", F.lit(0)) + F.col("times") - 1).cast("long").alias("n_links"), F.coalesce("component_id", "least").alias("component_id")))
     component = F.coalesce("component_id", own_id)
     return units.join(named, "cls_key", "left").select("row", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == own_id, F.lit(True)).alias("kept"), F.lit(float(recall)).alias("recall"))
 

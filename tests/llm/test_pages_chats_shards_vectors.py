@@ -129,3 +129,10 @@ def test_many_groups_of_several_hundred(spark, monkeypatch, wanted):
     found = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
     assert len(found) == n * size
     assert all(q.n_links == size - 1 and q.component_id == q.row.vec_id // size * size and q.recall == 1 for q in found)
+
+
+def test_vectors_with_repeated_and_null_ids(spark):
+    rows = [(1, [1.0, 0.0], 7), (1, [0.0, 1.0], 7), (2, [1.0, 0.001], 7), (2, [1.0, 0.001], 7), (None, [0.0, 1.0], 7), (3, [float("inf"), 1.0], 7), (40, [5.0, 5.0], 7)]
+    found = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cls int")).collect()
+    got = sorted((q.row.vec_id or 0, q.n_links, q.component_id, q.row.cls) for q in found)
+    assert got == [(0, 0, None, 7), (1, 0, 1, 7), (1, 2, 1, 7), (2, 2, 1, 7), (2, 2, 1, 7), (3, 0, 3, 7), (40, 0, 40, 7)]
