@@ -1,10 +1,12 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from denspark.llm import embeddings, shards
 from denspark.llm.embeddings import near_duplicate_vectors
-from denspark.llm.html import extract_main_text, main_text
+from denspark.llm.html import Page, extract_main_text, main_text, path_ratios
 from denspark.llm.shards import Conflict, ShardedTable, plan_merges, shard
 from denspark.llm.transcripts import conversations, parse_transcripts, train_roles
 
@@ -30,9 +32,49 @@ def test_text_outside_the_largest_container_is_kept():
         assert main_text(page) == " ".join(["Title", lead, *body])
 
 
+@pytest.mark.parametrize("name", "post related-work notice share-price comment popular sidebar".split())
+def test_a_name_is_no_veto_on_the_best_path(name):
+    body = [f"This is paragraph {i}, with some text, and marks. It goes on; for a while." for i in range(5)]
+    article = "<h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in body)
+    page = f'<html><body><nav>Menu</nav><div class="cookie-notice">Cookies, ok? Yes.</div><div class="{name}">{article}</div><div id="comments"><p>I think, that this is great.</p></div><footer>c</footer></body></html>'
+    assert main_text(page) == " ".join(["Title", *body])
+
+
+def test_ratios_against_brute_force():
+    page = Page(PAGE)
+    texts = [" ".join("".join(x.text).split()) for x in page.leaves]
+    letters, marks = [len(t) - x.linked for t, x in zip(texts, page.leaves)], [sum(c in '.,;:!?()"' for c in t) for t in texts]
+    paths = [x.path for x in page.leaves]
+    assert len(set(paths)) < len(paths)
+    found = path_ratios(paths, letters, marks)
+    order = list(dict.fromkeys(paths))
+    mean = lambda values, p: sum(v for v, q in zip(values, paths) if q == p) / paths.count(p)
+    for k, p in enumerate(order):
+        before, after = order[max(k - 1, 0)], order[min(k + 1, len(order) - 1)]
+        smooth = [max(mean(v, p), 0.25 * mean(v, before) + 0.5 * mean(v, p) + 0.25 * mean(v, after)) for v in (letters, marks)]
+        share = sum(v for v, q in zip(letters, paths) if q == p) / sum(letters)
+        assert found[p] == pytest.approx(smooth[0] * (1 + smooth[1]) * (1 + share))
+
+
+@pytest.mark.parametrize("page", ['<a b="' * 40_000, "<div>x" * 40_000, "<div>" * 40_000 + "</p>x" * 40_000, "<b hidden>" * 20_000 + "<i hidden></i>" * 20_000, "<article><p>" * 20_000 + "</p></div>" * 20_000, "<" * 200_000])
+def test_time_grows_with_the_page(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 3
+
+
+def test_broken_markup():
+    assert main_text("<p>a < b, c > d &amp; e</p>") == "a < b, c > d & e"
+    assert main_text("<p title='x>y'>Some text.</p><p don't>More text here.</p>") == "Some text. More text here."
+    assert main_text("<p>Kept text.</p><p class=") == "Kept text."
+    assert main_text("<p>One.</p></div></article><p>Two.</p>") == "One. Two."
+
+
 def test_pages(spark):
     found = extract_main_text(spark.createDataFrame([(1, PAGE, "t"), (2, None, "t")], "page_id long, html string, text string")).collect()
     assert {r.row.page_id: r.n_chars for r in found} == {1: len(main_text(PAGE)), 2: 0}
+    assert extract_main_text(spark.createDataFrame([], "page_id long, html string")).count() == 0
+    assert extract_main_text(spark.createDataFrame([(1, PAGE), (1, PAGE)], "page_id long, html string")).distinct().count() == 1
 
 
 def test_roles_are_recovered(spark):
