@@ -4,8 +4,9 @@ An item is found in a document if some part of it is within the item's edit budg
 ``edit_percent`` of its length, after lower-casing and turning white space into single
 spaces; edits count UTF-8 bytes.  By the q-gram lemma such a part shares at least
 ``length - q + 1 - q * edits`` q-grams with the item, all within a band of diagonals.
-Shared q-grams are counted in overlapping bands, bands that meet the bound are kept, and
-a banded alignment settles each of them.  Benchmarks are sent to the tasks in blocks of
+Shared q-grams are counted in overlapping bands, bands that meet the bound are kept, the
+same lemma with shorter q-grams, whose bound is most of the item, is applied to each, and
+a banded alignment settles the rest.  Benchmarks are sent to the tasks in blocks of
 bounded size, so one of any size works.
 """
 
@@ -25,6 +26,10 @@ from denspark.llm.words import SEPARATOR, chunks, mix, text_buffer
 Q = 8
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
+#: Bytes of a q-gram of the second count.
+FINE = 4
+#: Pairs of a place and an item with its q-gram that are looked at together.
+PAIRS = 4 << 20
 _TABLE = 1 << 20
 
 
@@ -52,6 +57,11 @@ def _eight(data: np.ndarray) -> np.ndarray:
     return np.ndarray(max(len(data) - Q + 1, 0), "<u8", np.concatenate([data, np.zeros(Q, np.uint8)]), strides=(1,))
 
 
+def _fine(data: np.ndarray) -> np.ndarray:
+    """The FINE-grams of a text."""
+    return _eight(np.concatenate([data, np.zeros(Q - FINE, np.uint8)])) & np.uint64((1 << 8 * FINE) - 1)
+
+
 class Items:
     """A block of benchmark items with the index of their q-grams."""
 
@@ -61,6 +71,7 @@ class Items:
         self.length = np.diff(offsets)
         self.edits = np.maximum(np.minimum(self.length * percent // 100, self.length // Q - 1), 0)
         self.bound = np.maximum(self.length - Q + 1 - Q * self.edits, 1)
+        self.fine = [_fine(np.frombuffer(x, np.uint8)) for x in self.texts]
         self.short = [i for i, n in enumerate(self.length.tolist()) if 0 < n < Q]
         codes, owner, place = [], [], []
         for i, text in enumerate(self.texts):
@@ -77,6 +88,7 @@ class Items:
         names, first, count = np.unique(hashed[order], return_index=True, return_counts=True)
         self.grams, self.first, self.count = Listed(names, 20), first, count
         self.owner, self.place = owner[order], place[order]
+        self.owned = np.repeat(np.arange(len(names)), count) * (len(self.texts) + 1) + self.owner  # ascending: a q-gram's items are in order
         self.may = np.zeros(1 << 22, bool)
         self.may[(names >> np.uint64(42)).astype(np.int64)] = True
 
@@ -104,7 +116,7 @@ class Items:
             at = part.tobytes().find(text)
             if at >= 0:
                 keep(document, item, 0, a + at - begin, a + at - begin + len(text))
-            elif (old := out.get((document, item))) is None or old[0]:
+            elif ((old := out.get((document, item))) is None or old[0]) and np.isin(self.fine[item], _fine(part)).sum() >= self.length[item] - FINE + 1 - FINE * self.edits[item]:
                 best = banded_distance(text, part, int(self.edits[item]))
                 if best is not None:
                     keep(document, item, best[0], a - begin + best[1], a - begin + best[2])
@@ -124,8 +136,24 @@ class Items:
         document = np.searchsorted(offsets, at, "right") - 1
         inside = at + Q <= offsets[document + 1]
         at, gram, document = at[inside], gram[inside], document[inside]
-        n = self.count[gram]
-        index = np.repeat(self.first[gram] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        upto = np.cumsum(self.count[gram])
+        edge = np.append(np.flatnonzero(np.append(True, document[1:] != document[:-1])), len(at))
+        k = 0
+        while k < len(edge) - 1:  # whole documents together, or one of them in parts by item
+            done = upto[edge[k] - 1] if edge[k] else 0
+            to = max(k + 1, int(np.searchsorted(upto[edge[1:] - 1], done + PAIRS, "right")))
+            own = slice(edge[k], edge[to])
+            parts = -(-int(upto[edge[to] - 1] - done) // PAIRS)
+            bounds = [len(self.texts) * i // parts for i in range(parts + 1)]
+            for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+                yield from self._bands(at[own], gram[own], document[own], offsets, low, high)
+            k = to
+
+    def _bands(self, at: np.ndarray, gram: np.ndarray, document: np.ndarray, offsets: np.ndarray, low_item: int, high_item: int):
+        base = gram * (len(self.texts) + 1)
+        first = np.searchsorted(self.owned, base + low_item)
+        n = np.searchsorted(self.owned, base + high_item) - first
+        index = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item = self.owner[index]
         wide = self.edits[item] + 1
         # Diagonals count from the document's start; they are shifted so that none is negative.
@@ -235,6 +263,9 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_percent: int = 8, tex
     * null or empty text or item: finds nothing and is not found;
     * an item of under ``Q`` bytes is found only as it is; the edit budget of one of under
       ``Q * (edits + 1)`` bytes is lowered until the q-gram bound is one or more;
+    * ties: of places with equally few edits the first;
+    * very long texts: whole, in parts of bounded size, by one task;
+    * other columns keep their names inside ``row``, so none can clash;
     * repeated rows give repeated results; an empty table gives an empty table.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])

@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads stretches of ``STRETCH`` bytes from both ends, gives a distribution
-over the languages at every byte, and a document's probabilities are the mean over all
-its bytes.  It is trained in NumPy by backpropagation through time, on a bounded sample
-of labelled documents; all documents, and all of each, are then labelled.
+The network reads stretches of ``STRETCH`` bytes from both ends, each with the bytes around
+it as a run-up, gives a distribution over the languages at every byte, and a document's
+probabilities are the mean over all its bytes.  It is trained in NumPy by backpropagation through time, on a bounded sample
+of labelled documents; all documents, and all of each, are then labelled.  Of the learning documents, too, every
+stretch may be drawn.
 """
 
 from __future__ import annotations
@@ -18,12 +19,13 @@ from denspark.llm.words import chunks, text_buffer
 
 #: Bytes that the network sees together; documents are cut into as many stretches as they need.
 STRETCH = 64
+#: Bytes before and after a stretch that bring the two states up to it.
+RUN_UP = 16
 HIDDEN = 8
 #: Stretches that go through the network at a time.
 LANES = 8192
-#: The sample to learn from: documents of each language, and characters of each.
+#: The sample to learn from: documents of each language.
 SAMPLE_DOCUMENTS = 500
-SAMPLE_CHARS = 256
 STEPS = 220
 BATCH = 128
 UNKNOWN = "und"
@@ -47,8 +49,8 @@ class Network:
     def _run(self, direction: int, x: np.ndarray):
         """All states of one direction over x (time, lanes), and what the way back needs."""
         w, u, h = self.weights[direction], self.weights[2 + direction], HIDDEN
-        state = np.zeros((x.shape[1], h), np.float32)
-        kept, states = [], np.empty((*x.shape, h), np.float32)
+        state = np.zeros((x.shape[1], h), u.dtype)
+        kept, states = [], np.empty((*x.shape, h), u.dtype)
         for t in range(x.shape[0]) if direction == 0 else range(x.shape[0] - 1, -1, -1):
             given, past = w[x[t]], state @ u
             gates = _sigmoid(given[:, : 2 * h] + past[:, : 2 * h])
@@ -61,8 +63,8 @@ class Network:
 
     def _back(self, direction: int, x: np.ndarray, kept, d_states: np.ndarray):
         u, h = self.weights[2 + direction], HIDDEN
-        d_u, d_given = np.zeros_like(u), np.empty((*x.shape, 3 * h), np.float32)
-        ahead = np.zeros((x.shape[1], h), np.float32)
+        d_u, d_given = np.zeros_like(u), np.empty((*x.shape, 3 * h), u.dtype)
+        ahead = np.zeros((x.shape[1], h), u.dtype)
         for t, state, z, r, m, new in reversed(kept):
             d = d_states[t] + ahead
             d_new = d * (1 - z) * (1 - new * new)
@@ -74,37 +76,42 @@ class Network:
             d_given[t, :, : 2 * h], d_given[t, :, 2 * h :] = past[:, : 2 * h], d_new
         flat = x.ravel()
         d_w = np.stack([np.bincount(flat, c, 256) for c in d_given.reshape(-1, 3 * h).T], axis=1)
-        return d_w.astype(np.float32), d_u
+        return d_w.astype(u.dtype), d_u
+
+    def slopes(self, part: np.ndarray, labels: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """Mean cross-entropy of all bytes of ``part`` (time, lanes), zero bytes left out, and its derivative by each weight."""
+        lanes = part.shape[1]
+        (f, kept_f), (b, kept_b) = self._run(0, part), self._run(1, part)
+        both = np.concatenate([f, b], axis=2)
+        logits = both @ self.weights[4] + self.weights[5]
+        p = np.exp(logits - logits.max(axis=2, keepdims=True))
+        p /= p.sum(axis=2, keepdims=True)
+        real = part != 0
+        share = real[:, :, None] / max(1, real.sum())
+        loss = float(-(np.log(np.maximum(p[:, np.arange(lanes), labels], 1e-30)) * share[:, :, 0]).sum())
+        p[:, np.arange(lanes), labels] -= 1
+        p *= share
+        d_both = p @ self.weights[4].T
+        d_w0, d_u0 = self._back(0, part, kept_f, d_both[:, :, :HIDDEN])
+        d_w1, d_u1 = self._back(1, part, kept_b, d_both[:, :, HIDDEN:])
+        return loss, [d_w0, d_w1, d_u0, d_u1, both.reshape(-1, 2 * HIDDEN).T @ p.reshape(-1, p.shape[2]), p.sum(axis=(0, 1))]
 
     def learn(self, texts: list[bytes], labels: np.ndarray, steps: int = STEPS, seed: int = 11) -> None:
-        """Adam on the mean cross-entropy of all bytes; languages are drawn equally often."""
+        """Adam on the mean cross-entropy; languages are drawn equally often, in each its documents, in each its stretches."""
         random = np.random.default_rng(seed)
-        cuts, of = [], []
-        for text, label in zip(texts, labels.tolist(), strict=True):
-            for a in range(0, len(text), STRETCH):
-                cuts.append(np.frombuffer(text[a : a + STRETCH].ljust(STRETCH, b"\0"), np.uint8))
-                of.append(label)
-        x, y = np.array(cuts), np.array(of)
-        own = [np.flatnonzero(y == i) for i in range(len(self.labels))]
-        first, second = ([np.zeros_like(w) for w in self.weights] for _ in range(2))
+        own = [np.flatnonzero(labels == i) for i in range(len(self.labels))]
+        pieces = np.array([max(1, -(-len(x) // STRETCH)) for x in texts])
         for step in range(1, steps + 1):
             pick = np.array([random.choice(own[i]) for i in random.integers(0, len(own), BATCH)])
-            part = x[pick].T.copy()
+            begin = random.integers(0, pieces[pick]) * STRETCH
+            cuts = [texts[i][a : a + STRETCH].ljust(STRETCH, b"\0") for i, a in zip(pick.tolist(), begin.tolist(), strict=True)]
+            part = np.frombuffer(b"".join(cuts), np.uint8).reshape(BATCH, STRETCH).T.copy()
             upper = random.random(BATCH) < 0.15
             part[:, upper] = np.where((part[:, upper] >= 97) & (part[:, upper] <= 122), part[:, upper] - 32, part[:, upper])
-            (f, kept_f), (b, kept_b) = self._run(0, part), self._run(1, part)
-            both = np.concatenate([f, b], axis=2)
-            logits = both @ self.weights[4] + self.weights[5]
-            p = np.exp(logits - logits.max(axis=2, keepdims=True))
-            p /= p.sum(axis=2, keepdims=True)
-            p[:, np.arange(BATCH), y[pick]] -= 1
-            real = part != 0
-            p *= real[:, :, None] / max(1, real.sum())
-            d_both = p @ self.weights[4].T
-            d_w0, d_u0 = self._back(0, part, kept_f, d_both[:, :, :HIDDEN])
-            d_w1, d_u1 = self._back(1, part, kept_b, d_both[:, :, HIDDEN:])
-            slopes = [d_w0, d_w1, d_u0, d_u1, both.reshape(-1, 2 * HIDDEN).T @ p.reshape(-1, p.shape[2]), p.sum(axis=(0, 1))]
+            _, slopes = self.slopes(part, labels[pick])
             rate = 0.03 * min(1.0, 2 * (1 - (step - 1) / steps))
+            if step == 1:
+                first, second = ([np.zeros_like(w) for w in self.weights] for _ in range(2))
             for i, g in enumerate(slopes):
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.99 * second[i] + 0.01 * g * g
@@ -120,15 +127,16 @@ class Network:
         self._past = [np.ascontiguousarray(self.weights[2 + d].T * half) for d in (0, 1)]
         self._read = [np.ascontiguousarray(self.weights[4].T[:, :HIDDEN]), np.ascontiguousarray(self.weights[4].T[:, HIDDEN:])]
 
-    def positions(self, x: np.ndarray) -> np.ndarray:
-        """Probabilities (time, label, lane) for the bytes x (time, lane)."""
+    def positions(self, x: np.ndarray, wanted: slice = slice(None)) -> np.ndarray:
+        """Probabilities (time, label, lane) for the wanted ones of the bytes x (time, lane); a zero byte leaves the states at rest."""
         time, lanes, h = *x.shape, HIDDEN
-        out = np.empty((time, len(self.labels), lanes), np.float32)
+        begin, end, _ = wanted.indices(time)
+        out = np.empty((end - begin, len(self.labels), lanes), np.float32)
         out[:] = self.weights[5][None, :, None]
         past, given, gap = np.empty((3 * h, lanes), np.float32), np.empty((3 * h, lanes), np.float32), np.empty((h, lanes), np.float32)
         for d in (0, 1):
             state = np.zeros((h, lanes), np.float32)
-            for t in range(time) if d == 0 else range(time - 1, -1, -1):
+            for t in range(end) if d == 0 else range(time - 1, begin - 1, -1):
                 np.take(self._given[d], x[t], axis=1, out=given, mode="clip")
                 np.matmul(self._past[d], state, out=past)
                 gates = past[: 2 * h]
@@ -143,7 +151,10 @@ class Network:
                 np.subtract(state, new, out=gap)
                 gap *= gates[:h]
                 np.add(new, gap, out=state)
-                out[t] += self._read[d] @ state
+                if (bare := (x[t] == 0)).any():
+                    state[:, bare] = 0
+                if begin <= t < end:
+                    out[t - begin] += self._read[d] @ state
         out -= out.max(axis=1, keepdims=True)
         np.exp(out, out=out)
         out /= out.sum(axis=1, keepdims=True)
@@ -156,13 +167,14 @@ class Network:
         owner = np.repeat(np.arange(len(sizes)), pieces)
         start = offsets[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
         real = np.minimum(offsets[owner + 1] - start, STRETCH)
-        padded = np.concatenate([data, np.zeros(STRETCH, np.uint8)])
+        padded = np.concatenate([np.zeros(RUN_UP, np.uint8), data, np.zeros(STRETCH + RUN_UP, np.uint8)])
         total, votes = (np.zeros((len(sizes), len(self.labels))) for _ in range(2))
-        steps = np.arange(STRETCH)[:, None]
+        steps = np.arange(-RUN_UP, STRETCH + RUN_UP)[:, None]
         for a in range(0, len(owner), LANES):
             own, at, n = owner[a : a + LANES], start[a : a + LANES], real[a : a + LANES]
-            inside = steps < n
-            p = self.positions(np.where(inside, padded[at[None, :] + steps], 0))
+            known = (at[None, :] + steps >= offsets[own]) & (at[None, :] + steps < offsets[own + 1])  # of the same document
+            p = self.positions(np.where(known, padded[at[None, :] + steps + RUN_UP], 0), slice(RUN_UP, RUN_UP + STRETCH))
+            inside = (steps < n)[RUN_UP : RUN_UP + STRETCH]
             p *= inside[:, None, :]
             best = p.argmax(axis=1)
             for k in range(len(self.labels)):
@@ -173,17 +185,16 @@ class Network:
 
 
 def train(docs: DataFrame, learn_from: Column, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id") -> Network | None:
-    """Learn from about ``SAMPLE_DOCUMENTS`` documents of each label, chosen by a hash of the id, and ``SAMPLE_CHARS`` characters of each."""
-    known = docs.where(learn_from & F.col(label_col).isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{text_col}`").alias("text"))
+    """Learn from about ``SAMPLE_DOCUMENTS`` whole documents of each label, chosen by a hash of id and text; of copies one."""
+    text = F.col(f"`{text_col}`").cast("string")
+    known = docs.where(learn_from & F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{label_col}`").cast("string").alias("label"), F.xxhash64(F.col(f"`{id_col}`"), text, F.lit("sample")).alias("lot"), text.alias("text"))
     counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    labels = sorted(counts)
-    chance = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCUMENTS / counts[k])))])
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 11).cast("double") / F.lit(float(1 << 53))
-    place = F.lit(1) + F.pmod(F.xxhash64("id"), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(1))).cast("int")
-    picked = known.where((draw < chance[F.col("label")]) & F.col("text").rlike("\\p{L}")).select("label", F.substring(F.col("text"), place, F.lit(SAMPLE_CHARS)).alias("text"))
-    rows = sorted((r["label"], r["text"].encode("utf-8", "surrogatepass")) for r in picked.collect() if r["text"])
+    chance = F.create_map(*[x for k in sorted(counts) for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCUMENTS / counts[k])))])
+    draw = F.shiftrightunsigned("lot", 11).cast("double") / F.lit(float(1 << 53))
+    picked = known.where((draw < chance[F.col("label")]) & F.col("text").rlike("\\p{L}")).dropDuplicates(["label", "lot"]).select("label", "text")
+    rows = sorted((r["label"], r["text"].encode("utf-8", "surrogatepass")) for r in picked.collect())
     labels = sorted({label for label, _ in rows})
     if not labels:
         return None
@@ -224,6 +235,9 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, id_col: str = "
     * null text, or one without a letter: ``und``, score 0;
     * null id: never learned from, counted as held out;
     * no labelled document at all: every prediction is ``und``, score 0;
+    * ties: the first label in alphabetical order;
+    * very long texts: every byte, a part of them at a time;
+    * other columns keep their names inside ``row``, so none can clash;
     * repeated rows are labelled alike; an empty table gives an empty table.
     """
     fold = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds

@@ -72,11 +72,12 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as plain transcripts, their roles recovered without the role column, and rendered alike."""
+    """Conversations as plain transcripts, their roles recovered without the role column, and rendered alike; a quarter of them isn't learned from."""
     plain = conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
-    model = train_roles(plain)
-    parsed = parse_transcripts(plain.select("conv_id", "transcript"), model)
-    return parsed.select("row.conv_id", F.size("roles").cast("long").alias("n_turns"), F.array_join("roles", ",").alias("roles"), "rendered")
+    held_out = F.coalesce(F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4 == 2, F.lit(True))
+    model = train_roles(plain.where(~held_out))
+    parsed = parse_transcripts(plain.select("conv_id", held_out.alias("held_out"), "transcript"), model)
+    return parsed.select("row.conv_id", "row.held_out", F.size("roles").cast("long").alias("n_turns"), F.array_join("roles", ",").alias("roles"), "rendered")
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

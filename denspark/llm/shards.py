@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import uuid
 from dataclasses import asdict, dataclass
 
@@ -157,8 +158,11 @@ class ShardedTable:
 
     def append(self, rows: DataFrame) -> Manifest:
         """Add rows as new shards, one for each of their partitions. Rows aren't moved."""
-        new = tuple(self._written(rows, 0).values())
         schema = rows.schema.json()
+        now = self.manifest()
+        if now.version and now.schema != schema:  # before anything is written
+            raise ValueError("the rows' columns differ from the table's")
+        new = tuple(self._written(rows, 0).values())
         while True:
             base = self.manifest()
             if base.version and base.schema != schema:
@@ -206,6 +210,17 @@ class ShardedTable:
             self._files.delete(self._path(f"{self.root}/manifests/v{v:010d}.json"), False)
         return len(dead)
 
+    def sweep(self, older_than: float = 7 * 86400) -> int:
+        """Delete files that no version names and that are older than so many seconds: what crashed or refused writers left; how many."""
+        named = {self._files.makeQualified(self._path(s.path)).toString() for v in self.versions() for s in self.manifest(v).shards}
+        data, before, gone = self._path(f"{self.root}/data"), 1000 * (time.time() - older_than), 0
+        for folder in self._files.listStatus(data) if self._files.exists(data) else ():
+            for status in self._files.listStatus(folder.getPath()):
+                if status.getModificationTime() < before and self._files.makeQualified(status.getPath()).toString() not in named:
+                    self._files.delete(status.getPath(), True)
+                    gone += 1
+        return gone
+
     # -- reading ----------------------------------------------------------------------
 
     def read(self, version: int | None = None) -> DataFrame:

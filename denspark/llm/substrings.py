@@ -253,12 +253,12 @@ def remove_repeats(docs: DataFrame, min_words: int = 20, id_col: str = "doc_id",
     sent = placed.where("doc_id is not null").select("doc_id", "body", "text").mapInArrow(_anchors(min_words), "anchor long, doc_id long, body long, known boolean")
     spread: Column = F.when(F.col("known"), F.xxhash64("doc_id", "anchor")).otherwise(F.col("anchor"))
     shared = sent.repartition(spread).sortWithinPartitions("known", "anchor").mapInArrow(_shared, "doc_id long, body long, anchor long")
-    lists = shared.groupBy("doc_id", "body").agg(F.collect_list("anchor").alias("anchors"))
+    lists = shared.groupBy("doc_id", "body").agg(F.collect_set("anchor").alias("anchors"))
 
     # The text's exchange is the same here and below, so Spark writes it once.
     windows = placed.join(lists, ["doc_id", "body"], "left").mapInArrow(_extended(min_words), "window long, doc_id long, body long, start int, n int, known boolean")
     repeats = windows.repartition("window").sortWithinPartitions("window", "doc_id", "body", "start").mapInArrow(_repeats, "doc_id long, body long, run long")
-    by_document = repeats.groupBy("doc_id", "body").agg(F.collect_list("run").alias("runs"))
+    by_document = repeats.groupBy("doc_id", "body").agg(F.collect_set("run").alias("runs"))
 
     out = StructType([placed.schema["row"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
     return placed.join(by_document, ["doc_id", "body"], "left").select("row", "text", "runs").mapInArrow(_cut(min_words, as_is), out)

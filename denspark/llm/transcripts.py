@@ -123,7 +123,11 @@ def transcript(turns: Column, key: Column) -> Column:
         return F.array_join(F.transform(turns, one), "\n\n" if style.endswith("\n") else "\n")
 
     options = [written(s, n) for s in STYLES for n in NAMES]
-    return F.element_at(F.array(*options), (F.pmod(F.xxhash64(key), F.lit(len(options))) + 1).cast("int"))
+    number = F.pmod(F.xxhash64(key), F.lit(len(options)))
+    chosen = F.when(number == 0, options[0])  # only the branch that is taken is evaluated
+    for i, option in enumerate(options[1:], 1):
+        chosen = chosen.when(number == i, option)
+    return chosen
 
 
 def _labelled_lines(roles: list[str]):
@@ -200,7 +204,9 @@ def parse_transcripts(transcripts: DataFrame, model: RoleModel, text_col: str =
     turns and ``rendered``, all turns in one canonical form.
 
     * null or empty transcript: no turns, an empty rendering;
-    * lines before the first marker belong to the most likely role;
+    * lines before the first marker belong to the most likely role; ties go to the more frequent role;
+    * very long transcripts: whole, one at a time in a task;
+    * other columns keep their names inside ``row``, so none can clash;
     * repeated rows give repeated results; an empty table gives an empty table.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in transcripts.columns if c != text_col])
@@ -212,9 +218,11 @@ def parse_transcripts(transcripts: DataFrame, model: RoleModel, text_col: str =
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns, transcript): the turns of each conversation in order, and their plain text.
 
-    Ties of turn are ordered by role and text; repeated rows are turns of their own; a null
-    conv_id is a conversation of its own.
+    Ties of turn are ordered by role and text; repeated rows are turns of their own; each row
+    without a conv_id is a conversation of its own, equal ones together.  Null roles are
+    "unknown", null texts empty; a very long conversation is one row; other columns are left out.
     """
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")
-    grouped = rows.groupBy("conv_id").agg(turns)
+    alone = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))
+    grouped = rows.groupBy("conv_id", alone.alias("alone")).agg(turns).drop("alone")
     return grouped.withColumn("transcript", transcript(F.col("turns"), F.col("conv_id")))

@@ -56,3 +56,44 @@ def test_normalised_and_bound():
     assert [data[a:b].tobytes().decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == ["a b", "", "é", "", "x"]
     items = Items(["word " * 20], 8)
     assert items.bound[0] == items.length[0] - 7 - 8 * items.edits[0]
+
+
+def test_all_pairs_against_brute_force(spark):
+    r = random.Random(9)
+    text = lambda n: "".join(r.choice("abcd ") for _ in range(n)).strip() + "x"
+    items = [(i, text(r.randint(40, 90))) for i in range(8)]
+    docs = []
+    for i in range(40):
+        own = list(r.choice(items)[1])
+        for _ in range(r.randint(0, len(own) // 8)):
+            own[r.randrange(len(own))] = r.choice("abcdz")
+        docs.append((i, text(60) + "".join(own) + text(60)))
+    docs += [(100, None), (101, ""), (3, docs[3][1])]
+    known = Items([t for _, t in items], 8)
+    want = []
+    for d, t in docs:
+        whole = " ".join((t or "").lower().split()).encode()
+        want += [(d, i, e) for i in range(8) if (e := semi_global(known.texts[i], whole)) <= known.edits[i]]
+    frame = spark.createDataFrame([(d, t, 5) for d, t in docs], "doc_id long, text string, item_id int")
+    found = find_items(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((x.row.doc_id, x.item_id, x.edits) for x in found) == sorted(want) and want
+
+
+def test_items_with_the_same_prompt(monkeypatch):
+    import time
+
+    import pyarrow as pa
+
+    from denspark.llm import decontamination
+
+    r = random.Random(5)
+    text = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    prompt = text(90)
+    items = Items([prompt + text(160) for _ in range(500)], 8)
+    data, offsets = normalised(pa.array([" ".join(prompt + text(60) for _ in range(100)), items.texts[7].decode()]))
+    began = time.process_time()
+    found = items.found(data, offsets)
+    assert time.process_time() - began < 60 and [x[:3] for x in found] == [(1, 7, 0)]
+    monkeypatch.setattr(decontamination, "PAIRS", 1000)
+    data, offsets = normalised(pa.array([items.texts[3].decode(), prompt, items.texts[400].decode() + " " + items.texts[7].decode()]))
+    assert [x[:3] for x in items.found(data, offsets)] == [(0, 3, 0), (2, 7, 0), (2, 400, 0)]

@@ -178,3 +178,44 @@ def test_vectors_with_repeated_and_null_ids(spark):
     found = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, cls int")).collect()
     got = sorted((q.row.vec_id or 0, q.n_links, q.component_id, q.row.cls) for q in found)
     assert got == [(0, 0, None, 7), (1, 0, 1, 7), (1, 2, 1, 7), (2, 2, 1, 7), (2, 2, 1, 7), (3, 0, 3, 7), (40, 0, 40, 7)]
+
+
+def test_path_against_all_paths():
+    import itertools
+    from collections import Counter
+
+    from denspark.llm.transcripts import RoleModel, features
+
+    lines = ["User: hi there?", "", "and more", "Assistant: Fine.", "so"]
+    given = features(lines)
+    counts = Counter({(-1, 4, 0): 5, (-1, 0, 1): 4, (-1, 1, 2): 3, (-1, 2, 3): 2, (-1, 3, 0): 1, (0, 0, 1): 6, (0, 2, 2): 6, (2, 0, 1): 3, (4, 1, 0): 2})
+    model = RoleModel(["user", "assistant"], counts)
+
+    def score(path):
+        total = model.step[-1, path[0]] + sum(model.step[a, b] for a, b in zip(path, path[1:]))
+        return total + sum(table[state, x] for state, row in zip(path, given) for table, x in zip(model.seen, row))
+
+    best = max(itertools.product(range(4), repeat=len(lines)), key=score)
+    assert score(model.path(lines)) == pytest.approx(score(best))
+
+
+def test_conversations_without_id_and_empty(spark):
+    rows = [(None, 0, "user", "Hello"), (None, 0, "user", "Other"), (1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, None, None)]
+    plain = conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    assert sorted((r.conv_id or 0, len(r.turns)) for r in plain.collect()) == [(0, 1), (0, 1), (1, 3), (2, 1)]
+    none = conversations(spark.createDataFrame([], "conv_id long, turn int, role string, text string"))
+    assert none.count() == 0 and parse_transcripts(none.select("conv_id", "transcript"), train_roles(none)).count() == 0
+
+
+def test_orphans_are_swept_and_a_refused_append_writes_nothing(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "doc_id long, text string")
+    table = shard(frame, f"file://{tmp_path}/s")
+    files = lambda: sorted(str(f) for f in (tmp_path / "s/data").rglob("part-*"))
+    before = files()
+    with pytest.raises(ValueError):
+        table.append(frame.select("doc_id"))
+    assert files() == before
+    table._written(frame, 0)  # as by a writer that crashed
+    assert len(files()) > len(before) and table.sweep() == 0
+    assert table.sweep(older_than=-5) > 0 and set(files()) <= set(before)  # files without a row aren't named either
+    assert sorted(table.read().collect(), key=str) == sorted(frame.collect(), key=str)
