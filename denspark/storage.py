@@ -10,13 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none (a single machine), a temporary one."""
+    """The folder of spark.checkpoint.dir; where the session names none, a temporary one, on a single machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     context = spark.sparkContext._jsc.sc().getCheckpointDir()
     if context.isDefined():
         return context.get()
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     own = f"file://{tempfile.mkdtemp(prefix='denspark-')}"
     spark.sparkContext.setCheckpointDir(own)
     return own
