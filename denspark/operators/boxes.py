@@ -49,8 +49,8 @@ def longest_side(dim: int, a: str = "a") -> Column:
 
 
 def well_separated(dim: int, s: float = 2.0, a: str = "a", b: str = "b") -> Column:
-    """Whether the balls around two boxes, both given the larger radius, are s radii or more apart."""
-    radius = F.greatest(diagonal(dim, a), diagonal(dim, b)) / 2.0
+    """Whether the balls around two boxes, each with half its box's diagonal as radius, are apart by s times the larger radius or more."""
+    one, other = diagonal(dim, a) / 2.0, diagonal(dim, b) / 2.0
     mid = [(F.col(f"{a}.l{i}") + F.col(f"{a}.h{i}")) / 2.0 - (F.col(f"{b}.l{i}") + F.col(f"{b}.h{i}")) / 2.0 for i in range(dim)]
     apart = F.sqrt(reduce(lambda x, y: x + y, [m * m for m in mid]))
-    return apart - 2.0 * radius >= s * radius
+    return apart - one - other >= s * F.greatest(one, other)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from denspark.functions.vectors import cell_index, columns
 from denspark.operators.points import dimension
+from denspark.operators.scans import dense_rank_over
 
 
 def side_of(eps: float, dim: int) -> float:
@@ -45,6 +47,17 @@ def cell_centres(cell_table: DataFrame, origin: Sequence[float], side: float, di
     return cell_table.select(*keys(dim), *[(F.lit(side / 2) + F.lit(float(m)) + F.col(f"k{i}") * F.lit(side)).alias(f"x{i}") for i, m in enumerate(origin)])
 
 
+def cell_at(celled: DataFrame, at: Sequence[float], origin: Sequence[float], side: float) -> DataFrame:
+    """The points of the cell that holds a place; none if it holds no point."""
+    here = [math.floor((x - m) / side) for x, m in zip(at, origin, strict=True)]
+    return celled.where(reduce(lambda s, x: s & x, [F.col(k) == i for k, i in zip(keys(len(here)), here, strict=True)]))
+
+
+def cell_number(cell_table: DataFrame, number: int, dim: int) -> DataFrame:
+    """The cell that comes at a place, from 0, in the order of the indices; none beyond the last."""
+    return dense_rank_over(cell_table.withColumn("__cell", F.struct(*keys(dim))), "__cell", "__number").where(F.col("__number") == number + 1).drop("__cell", "__number")
+
+
 def offsets(dim: int, within: int) -> list[tuple[int, ...]]:
     """Index offsets whose squares sum to at most ``within``."""
     reach = math.isqrt(within)

@@ -70,3 +70,22 @@ def transpose(df: DataFrame, row: str, column: str) -> DataFrame:
     """A sparse matrix with rows and columns exchanged."""
     swapped = {row: column, column: row}
     return df.select(*[F.col(swapped.get(c, c)).alias(c) for c in df.columns])
+
+
+def pack_two(df: DataFrame, first: Column | str, second: Column | str, order: str, name: str) -> DataFrame:
+    """The rows of two flags, those of the first as part 1 and of the second as part 2, each numbered from 0 in the given order."""
+    flags = [F.col(x) if isinstance(x, str) else x for x in (first, second)]
+    parts = [enumerate_flags(df.where(flag), F.lit(True), order, name).withColumn("part", F.lit(i)) for i, flag in enumerate(flags, 1)]
+    return parts[0].unionByName(parts[1])
+
+
+def bit_flags(df: DataFrame, flag: Column | str, position: str, name: str = "bits") -> DataFrame:
+    """(word, bits): flags by their position packed into words of 63 bits."""
+    flag = F.col(flag) if isinstance(flag, str) else flag
+    bit = F.when(flag, F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(position, F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return df.groupBy(F.floor(F.col(position) / 63).cast("long").alias("word")).agg(F.bit_or(bit).alias(name))
+
+
+def log2_up(x: Column) -> Column:
+    """The least whole number whose power of two is at least x; 0 up to 1."""
+    return F.when(x <= 1, F.lit(0)).otherwise(F.length(F.bin(x - 1))).cast("int")

@@ -10,6 +10,7 @@ Components are found over cells, not points.
 from __future__ import annotations
 
 import itertools
+import time
 from collections.abc import Sequence
 from functools import reduce
 
@@ -38,10 +39,16 @@ class Stages:
         self.box: Extent = extent(points)
         self.coordinates = [f"c{i}" for i in range(self.dim)]
         self._made: dict[str, DataFrame] = {}
+        #: Seconds that each stage took which is kept, the stages that it asked for included.
+        self.seconds: dict[str, float] = {}
 
-    def _once(self, name: str, make) -> DataFrame:
+    def _once(self, name: str, make, keep: bool = True) -> DataFrame:
+        """keep: write it, because it is read more than once."""
         if name not in self._made:
-            self._made[name] = checkpointed(make())
+            began = time.monotonic()
+            self._made[name] = checkpointed(make()) if keep else make()
+            if keep:
+                self.seconds[name] = time.monotonic() - began
         return self._made[name]
 
     def _near(self, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -107,10 +114,12 @@ class Stages:
             part = self.owned.join(labels.select(F.col("vertex").alias("cell"), F.col("label")), "cell", "left").withColumn("label", F.coalesce("label", "cell"))
             part = part.select("id", *self.coordinates, *keys(self.dim), "cell", "label")
             open_ = checkpointed(self._near_other(part))
+            if open_.isEmpty():
+                return quick
             apart = self._near(open_, open_).where(between & (F.col("label") != F.col("r_label")))
             return quick.union(apart.select(F.col("cell").alias("a"), F.col("r_cell").alias("b")).distinct())
 
-        return self._once("cell_edges", make)
+        return self._once("cell_edges", make, keep=False)
 
     def _near_other(self, part: DataFrame) -> DataFrame:
         """Places whose cell has a cell of another label in eps's reach; the rest can't link anything new."""
@@ -144,7 +153,7 @@ class Stages:
             greatest = self.components.join(self.core_cells, "cell").groupBy("root").agg(F.max(F.struct(*keys(self.dim))).alias("cell"))
             return dense_rank_over(greatest, "cell", "label").select("root", (F.col("label") - 1).cast("int").alias("label"))
 
-        return self._once("numbered", make)
+        return self._once("numbered", make, keep=False)
 
     @property
     def core_labels(self) -> DataFrame:
@@ -160,7 +169,7 @@ class Stages:
             near = self._near(others, self.core_labels)
             return near.groupBy("id").agg(F.min_by("r_label", F.struct("d2", "r_id")).alias("label"))
 
-        return self._once("border_labels", make)
+        return self._once("border_labels", make, keep=False)
 
     @property
     def labels(self) -> DataFrame:
@@ -168,10 +177,12 @@ class Stages:
 
         def make() -> DataFrame:
             placed = self.core_labels.select("id", "label", F.lit(True).alias("is_core")).unionByName(self.border_labels.select("id", "label", F.lit(False).alias("is_core")))
+            if self.places.count() == self.box.rows:  # no two points are equal: a place's id is its point's
+                return self.places.select("id").join(placed, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
             every = self.places.select("id", *self.coordinates).join(placed, "id", "left").drop("id")
             return self.points.join(every, self.coordinates).select("id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
-        return self._once("labels", make)
+        return self._once("labels", make, keep=False)
 
 
 def cluster(points: DataFrame, eps: float, min_samples: int, neighbor_rule: str = "exact") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from denspark.plans.cluster import dbscan
+from denspark.storage import checkpointed
 
 _NAMES = ("eps", "min_samples", "metric", "metric_params", "algorithm", "leaf_size", "p", "n_jobs")
 
@@ -37,16 +38,22 @@ class SparkDBSCAN:
         self.__init__(**(self.get_params() | params))
         return self
 
-    def fit_predict(self, df: DataFrame, y=None, sample_weight=None, *, features: Sequence[str] | None = None, id_col: str = "id") -> DataFrame:
-        """(id, label). Features are all columns but the id, unless named; ``y`` is ignored."""
+    def fit_predict(self, df: DataFrame, y=None, sample_weight=None, *, features: Sequence[str] | str | None = None, id_col: str = "id", dim: int | None = None, max_dims: int = 20, neighbor_rule: str = "exact") -> DataFrame:
+        """(id, label). Features are all columns but the id, unless named, or one array column of ``dim`` numbers; ``y`` is ignored."""
         if sample_weight is not None:
             raise NotImplementedError("not supported: sample_weight")
-        features = list(features) if features is not None else [c for c in df.columns if c != id_col]
-        labelled = dbscan(df, features, self.eps, self.min_samples, id_col)
+        features = features if isinstance(features, str) else list(features) if features is not None else [c for c in df.columns if c != id_col]
+        names = [features] if isinstance(features, str) else features
+        if len(names) == 1 and df.schema[names[0]].dataType.typeName() == "array":
+            features = names[0]
+            if dim is None:  # that of the first row
+                first = df.select(F.size(features)).first()
+                dim = first[0] if first else None
+        labelled = checkpointed(dbscan(df, features, self.eps, self.min_samples, id_col, dim, max_dims, neighbor_rule))  # read by all three results
         self.labels_ = labelled.select(id_col, "label")
         core = labelled.where("is_core")
-        self.core_sample_indices_, self.components_ = core.select(id_col), core.select(*features)
-        self.n_features_in_, self.feature_names_in_ = len(features), features
+        self.core_sample_indices_, self.components_ = core.select(id_col), core.select(*names)
+        self.n_features_in_, self.feature_names_in_ = (dim if isinstance(features, str) else len(names)), names
         return self.labels_
 
     def fit(self, df: DataFrame, y=None, sample_weight=None, **names) -> SparkDBSCAN:

@@ -27,8 +27,6 @@ class Source:
     duck: tuple[str, ...]
     eps: float
     least: int
-    #: Rows that the SQL reads; the query reads the whole table.
-    sql_where: str = "true"
 
     @property
     def dim(self) -> int:
@@ -40,7 +38,7 @@ class Source:
 
     @property
     def p(self) -> str:
-        return "p as materialized (select " + f"{self.id}::bigint id, " + ", ".join(f"({x})::double c{i}" for i, x in enumerate(self.duck)) + f" from {self.table} where {self.sql_where})"
+        return "p as materialized (select " + f"{self.id}::bigint id, " + ", ".join(f"({x})::double c{i}" for i, x in enumerate(self.duck)) + f" from {self.table})"
 
 
 def _embedding(dim: int, eps: float) -> Source:
@@ -51,7 +49,7 @@ E2, E2B, E3, E5 = _embedding(2, 0.03), _embedding(2, 0.02), _embedding(3, 0.06),
 CUSTOMER = Source("customer", "c_custkey", ("c_acctbal / 1000", "c_nationkey"), ("c_acctbal / 1000", "c_nationkey"), 0.3, 5)
 SUPPLIER = Source("supplier", "s_suppkey", ("s_acctbal / 1000", "s_nationkey"), ("s_acctbal / 1000", "s_nationkey"), 1.0, 3)
 EVENTS = Source(
-    "events", "event_id", ("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', ts) / 3600000000D", "value / 10"), ("epoch_us(ts - timestamp '2024-01-01') / 3600000000::double", "value / 10"), 1.0, 8, "event_id < 3000"
+    "events", "event_id", ("timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01', ts) / 3600000000D", "value / 10"), ("epoch_us(ts - timestamp '2024-01-01') / 3600000000::double", "value / 10"), 1.0, 8
 )
 
 
@@ -145,10 +143,10 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
         one = nation(spark, sf_dir)
         return one.alias("a").join(one.alias("b"), F.col("a.g") < F.col("b.g"))
 
-    def metric_query(spark, sf_dir):
+    def metric_query(spark, sf_dir, measure=metrics.contingency):
         rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", F.col("label").alias("truth"))
         labelled = dbscan(rows, "embedding", E2.eps, E2.least, "vec_id", dim=2)
-        return metrics.contingency(labelled, "truth", "label")
+        return measure(labelled, "truth", "label")
 
     gap = "greatest(a.l{i}-b.h{i}, b.l{i}-a.h{i}, 0.0::double)"
     gaps = "+".join(f"{gap.format(i=i)}*{gap.format(i=i)}" for i in (0, 1))
@@ -167,9 +165,12 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
         "cell_counts": (_celled(CUSTOMER, lambda g, b: grid.cells(g)), f"with {_cells(CUSTOMER)} select k0, k1, count(*) n from g group by all"),
         "num_cells": (_celled(E3, lambda g, b: grid.cells(g).agg(F.count("*").alias("n"))), f"with {_cells(E3)} select count(*) n from (select distinct k0, k1, k2 from g)"),
         "dense_cells": (_celled(EVENTS, lambda g, b: grid.dense_cells(g, EVENTS.least)), f"with {_cells(EVENTS)} select k0, k1, count(*) n from g group by all having count(*) >= {EVENTS.least}"),
+        "dense_cells_customer": (_celled(CUSTOMER, lambda g, b: grid.dense_cells(g, 3)), f"with {_cells(CUSTOMER)} select k0, k1, count(*) n from g group by all having count(*) >= 3"),
         "cell_centres": (_celled(E2, lambda g, b: grid.cell_centres(grid.cells(g), b.low, side2, 2)), f"with {_cells(E2)} select distinct k0, k1, {_num(side2 / 2)} + m0 + k0 * {_num(side2)} x0, {_num(side2 / 2)} + m1 + k1 * {_num(side2)} x1 from g, m"),
         "neighbour_cells": (_celled(E2, lambda g, b: grid.neighbour_cells(grid.cells(g), 2)), f"with {_cells(E2)}, c as (select distinct k0, k1 from g) select a.k0, a.k1, b.k0 q0, b.k1 q1 from c a join c b on {near}"),
         "neighbour_points": (_celled(E2, lambda g, b: grid.neighbour_points(g)), f"with {_cells(E2)}, c as (select distinct k0, k1 from g) select a.k0, a.k1, b.id from c a join g b on {near}"),
+        "cell_at": (_celled(E2, lambda g, b: grid.cell_at(g, at, b.low, side2).select("id")), f"with {_cells(E2)} select id from g, m where k0 = floor(({_num(at[0])}-m0)/{_num(side2)})::bigint and k1 = floor(({_num(at[1])}-m1)/{_num(side2)})::bigint"),
+        "cell_number": (_celled(E2, lambda g, b: grid.cell_number(grid.cells(g), 17, 2)), f"with {_cells(E2)} select k0, k1, count(*) n from g group by all order by k0, k1 limit 1 offset 17"),
         # joins by distance
         "eps_pairs": (lambda s, d: neighbors.eps_pairs(p := E2.points(s, d), extent(p), E2.eps), f"with {_pairs(E2)} select a, b, d2 from pr"),
         "eps_counts": (lambda s, d: neighbors.eps_counts(p := CUSTOMER.points(s, d), extent(p), CUSTOMER.eps), f"with {_pairs(CUSTOMER)} select a id, count(*) n from pr group by a"),
@@ -207,6 +208,15 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
         "estimator": (lambda s, d: SparkDBSCAN(eps=E2B.eps, min_samples=E2B.least).fit_predict(E2B.points(s, d)), f"with recursive {_labelled(E2B)} select id, label from res"),
         "core_components": (lambda s, d: SparkDBSCAN(eps=E2.eps, min_samples=E2.least).fit(E2.points(s, d)).components_, f"with {_core(E2)} select c0, c1 from p where id in (select id from core)"),
         "contingency": (metric_query, f"with recursive {_labelled(E2)} select e.label truth, res.label, count(*) n from res join embeddings e on e.vec_id = res.id group by all"),
+        "agreement": (
+            lambda s, d: metric_query(s, d, metrics.agreement).select(*[F.round(c, 9).alias(c) for c in ("homogeneity", "completeness", "v_measure", "adjusted_rand")]),
+            f"with recursive {_labelled(E2)}, ct as (select e.label truth, res.label, count(*)::double n from res join embeddings e on e.vec_id = res.id group by all), "
+            "ra as (select truth, sum(n) a from ct group by all), cb as (select label, sum(n) b from ct group by all), t as (select sum(n) t from ct), "
+            "j as (select sum(-n/t*ln(n/b)) h_ck, sum(-n/t*ln(n/a)) h_kc, sum(n*(n-1)/2) i from ct join ra using (truth) join cb using (label), t), "
+            "x as (select sum(-a/t*ln(a/t)) h_c, sum(a*(a-1)/2) sa from ra, t), y as (select sum(-b/t*ln(b/t)) h_k, sum(b*(b-1)/2) sb from cb, t), "
+            "h as (select case when h_c=0 then 1 else 1-h_ck/h_c end ho, case when h_k=0 then 1 else 1-h_kc/h_k end co, sa*sb/(t*(t-1)/2) ex, (sa+sb)/2 mx, i from j, x, y, t) "
+            "select round(ho, 9) homogeneity, round(co, 9) completeness, round(case when ho+co=0 then 0 else 2*ho*co/(ho+co) end, 9) v_measure, round(case when mx=ex then 1 else (i-ex)/(mx-ex) end, 9) adjusted_rand from h",
+        ),
         "standard_scale": (_on(E2, lambda p: metrics.standard_scale(p, ["c0", "c1"]).select("id", F.round("c0", 9).alias("c0"), F.round("c1", 9).alias("c1"))), f"with {E2.p}, s as (select avg(c0) a0, stddev_pop(c0) s0, avg(c1) a1, stddev_pop(c1) s1 from p) select id, round((c0-a0)/s0, 9) c0, round((c1-a1)/s1, 9) c1 from p, s"),
         # graph
         "least_reachable": (
@@ -225,6 +235,13 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
         "enumerate_flags": (lambda s, d: scans.enumerate_flags(_orders(s, d), "flag", "id", "x").select("id", "x"), f"with {_ORDERS} select id, coalesce(sum(flag::int) over (order by id rows between unbounded preceding and 1 preceding), 0)::bigint x from o"),
         "pack": (lambda s, d: scans.enumerate_flags(_orders(s, d), "flag", "id", "x").where("flag").select("x", "v"), f"with {_ORDERS} select row_number() over (order by id) - 1 x, v from o where flag"),
         "pack_index": (lambda s, d: _orders(s, d).where("flag").select("id"), f"with {_ORDERS} select id from o where flag"),
+        "pack_map": (lambda s, d: scans.enumerate_flags(_orders(s, d), "flag", "id", "x").where("flag").select("x", (F.col("v") * 2 + F.col("id")).alias("y")), f"with {_ORDERS} select row_number() over (order by id) - 1 x, v * 2 + id y from o where flag"),
+        "pack_two": (
+            lambda s, d: scans.pack_two(_orders(s, d), "flag", F.col("v") % 3 == 0, "id", "x").select("part", "x", "id"),
+            f"with {_ORDERS} select 1 part, row_number() over (order by id) - 1 x, id from o where flag union all select 2, row_number() over (order by id) - 1, id from o where v % 3 = 0",
+        ),
+        "bit_flag_count": (lambda s, d: scans.bit_flags(_orders(s, d), "flag", "id").agg(F.sum(F.bit_count("bits")).alias("n"), F.count("*").alias("words")), f"with {_ORDERS} select count_if(flag)::bigint n, count(distinct id // 63) words from o"),
+        "log2_up": (lambda s, d: _orders(s, d).select("id", scans.log2_up(F.col("v") % 5000).alias("x")), f"with {_ORDERS} select id, (case when v % 5000 <= 1 then 0 else length(bin(v % 5000 - 1)) end)::int x from o"),
         "split_stable": (lambda s, d: scans.split_stable(_orders(s, d), "flag", "id", "x").select("id", "x"), f"with {_ORDERS} select id, row_number() over (order by flag, id) - 1 x from o"),
         "arg_extremes": (
             lambda s, d: scans.arg_max(_orders(s, d).withColumn("w", F.col("v") % 97), "w", "id").withColumnRenamed("arg_max", "max_first").crossJoin(scans.arg_max(_orders(s, d).withColumn("w", F.col("v") % 97), "w", "id", last=True).withColumnRenamed("arg_max", "max_last")).crossJoin(scans.arg_min(_orders(s, d).withColumn("w", F.col("v") % 97), "w", "id").withColumnRenamed("arg_min", "min_first")),
@@ -241,7 +258,16 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
         ),
         "box_distances": (
             lambda s, d: box_pairs(s, d).select(F.col("a.g").alias("g"), F.col("b.g").alias("other"), boxes.box_distance(2).alias("near"), boxes.box_far_distance(2).alias("far"), boxes.well_separated(2).alias("apart"), boxes.diagonal(2).alias("diagonal"), boxes.longest_side(2).alias("longest")),
-            f"with {E2.p}, {nation_boxes} select a.g, b.g other, sqrt({gaps}) near, sqrt({spans}) far, sqrt({mids}) - 2.0::double * (greatest({diag.format(t='a')}, {diag.format(t='b')}) / 2.0::double) >= 2.0::double * (greatest({diag.format(t='a')}, {diag.format(t='b')}) / 2.0::double) apart, {diag.format(t='a')} diagonal, greatest({ends.format(i=0)}, {ends.format(i=1)}) longest from bx a join bx b on a.g < b.g",
+            f"with {E2.p}, {nation_boxes} select a.g, b.g other, sqrt({gaps}) near, sqrt({spans}) far, sqrt({mids}) - {diag.format(t='a')} / 2.0::double - {diag.format(t='b')} / 2.0::double >= 2.0::double * (greatest({diag.format(t='a')}, {diag.format(t='b')}) / 2.0::double) apart, {diag.format(t='a')} diagonal, greatest({ends.format(i=0)}, {ends.format(i=1)}) longest from bx a join bx b on a.g < b.g",
+        ),
+        "vector_arithmetic": (
+            _on(
+                E2,
+                lambda p: p.select(
+                    "id", V.subtract(c2 := V.columns(2), c2[::-1])[0].alias("less"), V.scale(c2, 3.0)[1].alias("scaled"), V.divide(c2, 4.0)[0].alias("divided"), V.multiply(c2, c2[::-1])[0].alias("product"), V.min_coords(c2, c2[::-1])[0].alias("low"), V.max_coords(c2, c2[::-1])[1].alias("high"), V.same(c2, c2[::-1]).alias("same"), V.shown([F.col("id"), F.col("id") + 1]).alias("shown")
+                ),
+            ),
+            f"with {E2.p} select id, c0-c1 less, c1*3.0::double scaled, c0/4.0::double divided, c0*c1 product, least(c0, c1) low, greatest(c0, c1) high, c0 = c1 as same, id || ' ' || (id + 1) shown from p",
         ),
         "vector_functions": (
             _on(E2, lambda p: p.select("id", V.dot(c2 := V.columns(2), c2).alias("dot"), V.dist(c2, [F.lit(0.5), F.lit(0.25)]).alias("dist"), V.normalize(c2)[0].alias("unit"), V.midpoint(c2, [F.lit(1.0), F.lit(1.0)])[1].alias("mid"), V.orthant(c2, centre).alias("orthant"), V.out_of_box(c2, centre, 0.1).alias("out"))),

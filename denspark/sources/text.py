@@ -55,3 +55,31 @@ def read_points(spark: SparkSession, path: str, mode: str = "FAILFAST", max_dims
 def write_labels(labelled: DataFrame, path: str, id_col: str = "id") -> None:
     """One label a line under the header ``cluster-id``, in the order of the ids. Several files keep that order by their names."""
     labelled.repartitionByRange(id_col).sortWithinPartitions(id_col).select(F.col("label").alias("cluster-id")).write.mode("overwrite").csv(path, header=True)
+
+
+#: First word of a file of whole numbers.
+INTEGERS = "sequenceInt"
+
+
+def csv_words(line: Column) -> Column:
+    """Words of a line that commas, tabs and line ends part; a space is part of a word."""
+    return F.filter(F.split(line, "[,\\t\\r\\n\\x00]+"), lambda x: x != "")
+
+
+def write_integers(df: DataFrame, path: str, value: str, order: str) -> None:
+    """Whole numbers, one a line in the given order, after a line that says what they are."""
+    rows = df.select(F.struct(F.lit(1).alias("part"), F.col(order).cast("long").alias("at")).alias("key"), F.col(value).cast("long").cast("string").alias("value"))
+    head = df.sparkSession.range(1).select(F.struct(F.lit(0).alias("part"), F.lit(0).cast("long").alias("at")).alias("key"), F.lit(INTEGERS).alias("value"))
+    rows.union(head).repartitionByRange("key").sortWithinPartitions("key").select("value").write.mode("overwrite").text(path)
+
+
+def read_integers(spark: SparkSession, path: str) -> DataFrame:
+    """(i, value): the whole numbers of such a file in its order, counted from 0; null where a word is none."""
+    from denspark.operators.scans import enumerate_flags
+
+    words = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), F.filter(_parts(F.col("value")), lambda x: x != "").alias("w")).where(F.size("w") > 0)
+    first = words.orderBy("line").select(F.col("w")[0].alias("w")).first()
+    if first is None or first["w"] != INTEGERS:
+        raise ValueError(f"{path} doesn't begin with {INTEGERS}")
+    each = words.select("line", F.posexplode("w").alias("at", "w")).select((F.col("line") * 4096 + F.col("at")).alias("order"), F.col("w").try_cast("long").alias("value"))
+    return enumerate_flags(each, F.lit(True), "order", "i").where("i > 0").select((F.col("i") - 1).alias("i"), "value")

@@ -138,3 +138,43 @@ def test_events_are_read_whole(spark, tmp_path):
     dense = QUERIES["dense_cells"](spark, str(tmp_path)).collect()
     assert sorted((q.k0, q.k1, q.n) for q in dense) == [(*c, m) for c, m in zip(cells.tolist(), n.tolist(), strict=True) if m >= EVENTS.least]
     assert dense
+
+
+def test_estimator_with_an_array_column(spark):
+    rows = [(i, [float(a), float(b), 0.0]) for i, (a, b) in enumerate(SMALL)]
+    model = SparkDBSCAN(eps=1.42, min_samples=3).fit(spark.createDataFrame(rows, "id long, x array<double>"))
+    assert sorted(r.label for r in model.labels_.collect()) == [-1, 0, 0, 0, 0] and model.n_features_in_ == 3
+    assert sorted(r.x for r in model.components_.collect()) == [[1.0, 3.0, 0.0], [1.5, 2.5, 0.0]]
+    wide = [(i, [float(i // 5)] * 24) for i in range(10)]
+    found = SparkDBSCAN(eps=0.5, min_samples=5).fit_predict(spark.createDataFrame(wide, "id long, x array<double>"), features="x", dim=24, max_dims=24)
+    assert sorted((r.id, r.label) for r in found.collect()) == [(i, i // 5) for i in range(10)]
+
+
+def test_blobs_standardised(spark):
+    """750 points around three centres, eps 0.3 and ten samples: three clusters and little noise."""
+    random = np.random.default_rng(0)
+    truth = np.arange(750) % 3
+    x = np.array([(1, 1), (-1, -1), (1, -1)])[truth] + random.normal(scale=0.4, size=(750, 2))
+    x = (x - x.mean(axis=0)) / x.std(axis=0)
+    label, core = run(spark, x, 0.3, 10)
+    want_label, want_core = brute(x, 0.3, 10)
+    assert label == want_label.tolist() and core == want_core.tolist()
+    label = np.array(label)
+    assert set(label) == {-1, 0, 1, 2} and (label < 0).sum() < 60
+
+
+def test_stages_are_timed(spark):
+    from denspark.plans.cluster import Stages
+
+    stages = Stages(from_array(spark, np.array(SMALL, float)), 1.42, 3)
+    assert stages.labels.count() == 5 and {"places", "core", "components"} <= set(stages.seconds) and min(stages.seconds.values()) >= 0
+
+
+@pytest.mark.parametrize(("a", "b", "apart"), [((0, 0, 2, 0), (4.5, 0, 4.5, 0), True), ((0, 0, 2, 0), (4.4, 0, 4.4, 0), True), ((0, 0, 2, 0), (3.9, 0, 3.9, 0), False), ((0, 0, 2, 0), (3.5, 0, 5.5, 0), False), ((0, 0, 2, 0), (6, 0, 8, 0), True)])
+def test_well_separated(spark, a, b, apart):
+    from pyspark.sql import functions as F
+
+    from denspark.operators.boxes import well_separated
+
+    box = lambda x: F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("l0", "l1", "h0", "h1"), x)])
+    assert spark.range(1).select(box(a).alias("a"), box(b).alias("b")).select(well_separated(2).alias("x")).first().x is apart

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from denspark.__main__ import main
 from denspark.sources.text import read_header, read_points, write_labels
@@ -26,3 +27,16 @@ def test_write_and_command_line(spark, tmp_path):
     lines = [x for p in sorted((tmp_path / "out").glob("part-*")) for x in p.read_text().split() if x != "cluster-id"]
     assert lines == ["0", "0", "-1"]
     write_labels(spark.createDataFrame([(2, 5), (1, 4)], "id long, label int"), str(tmp_path / "more"))
+
+
+def test_integers_and_csv_words(spark, tmp_path):
+    from denspark.sources.text import csv_words, read_integers, write_integers
+
+    values = [(i, (i * 37) % 101 - 50) for i in range(300)]
+    write_integers(spark.createDataFrame(values, "i long, v long"), f"file://{tmp_path}/n", "v", "i")
+    assert sorted(map(tuple, read_integers(spark, f"file://{tmp_path}/n").collect())) == values
+    (tmp_path / "bad.txt").write_text("1\n2\n")
+    with pytest.raises(ValueError):
+        read_integers(spark, f"file://{tmp_path}/bad.txt")
+    line = spark.createDataFrame([("a b,,c\td",)], "x string").select(csv_words(F.col("x")).alias("w")).first()
+    assert line.w == ["a b", "c", "d"]
