@@ -32,7 +32,7 @@ FROM = 10
 #: Frequent words, which all tasks know; rarer ones are joined.
 LISTED = 1 << 17
 #: Words whose counts a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 18
 SWEEPS = 6
 ADDED = 0.1
 ENDING = 4
