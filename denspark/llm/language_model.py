@@ -43,13 +43,16 @@ class Listed:
     """Position of a hash among the listed ones, by a direct table and a search where two share a slot."""
 
     def __init__(self, hashes: np.ndarray, bits: int = 21):
-        self.hashes, self._shift = np.sort(hashes), _U(64 - bits)
+        self.hashes, self._bits, self._shift = np.sort(hashes), bits, _U(64 - bits)
         self._slot = np.full(1 << bits, -1, np.int32)
         at = (self.hashes >> self._shift).astype(np.int64)
         self._slot[at[::-1]] = np.arange(len(at) - 1, -1, -1)
         self._shared = np.zeros(1 << bits, bool)
         self._shared[at[1:][at[1:] == at[:-1]]] = True
 
+    def __reduce__(self):
+        return Listed, (self.hashes, self._bits)  # tasks make the table themselves
+
     def find(self, x: np.ndarray) -> np.ndarray:
         """-1 where a hash isn't listed."""
         if not len(self.hashes):
@@ -391,6 +394,9 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, id_col:
     * null or empty text: the end token alone;
     * null id: never learned from, counted as held out;
     * no training document: every token is unknown, scores come from the smoothing alone;
+    * ties: equally frequent words in the order of their hashes, equally good classes the lower one;
+    * very long texts and words: whole, held by one task at a time;
+    * other columns keep their names inside ``row``, so none can clash;
     * repeated rows count as often as they are there; an empty table gives an empty table.
     """
     fold = F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % folds

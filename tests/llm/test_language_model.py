@@ -70,3 +70,24 @@ def test_empty_and_untrained(spark):
     assert score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     (r,) = score_documents(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (True, 3, 0, 0)
+
+
+def test_repeats_clashing_names_and_long_words(spark):
+    rows = [(i, "a b c " * 5 + "=" * 500, 1) for i in range(1, 30)] + [(5, "a b c " * 5 + "=" * 500, 1), (None, "a", 1), (77, "word " * 50_000, 1)]
+    found = score_documents(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(3)).collect()
+    assert len(found) == len(rows)
+    twice = [(r.held_out, r.n_tokens, r.base_score, r.score) for r in found if r.row.doc_id == 5]
+    assert len(twice) == 2 and twice[0] == pytest.approx(twice[1]) and twice[0][1] == 17
+    assert [r.n_tokens for r in found if r.row.doc_id == 77] == [50_001] and all(r.held_out for r in found if r.row.doc_id is None)
+
+
+def test_a_class_s_probabilities_sum_to_one(spark):
+    """Scores of one-word documents: with the start's transitions, words and unseen ones share out each class."""
+    docs = corpus()
+    words = sorted({w for _, t in docs for w in (t or "").lower().split()})
+    asked = [(10_000 + i, w) for i, w in enumerate([*words, "never"])]
+    held = [(i, w) for i, w in asked if True]
+    frame = spark.createDataFrame(docs + held, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in score_documents(frame, clustered=40, classes=4).select("row.doc_id", "score").collect()}
+    assert all(found[i] < 0 for i, _ in asked)
+    assert sum(10 ** found[i] for i, _ in asked) < 1  # each has an end after it as well
