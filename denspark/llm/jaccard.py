@@ -490,11 +490,14 @@ class _Join:
         A shingle's labels are a partial aggregate, and the join back on it can be split, so
         a shingle of very many sets isn't one task's work.
         """
-        labelled = checkpointed(self.labelled(rows, labels))
+        labelled = checkpointed(self.labelled(self._enough(rows), labels))
         mixed = labelled.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("shingle")
-        own = labelled.join(checkpointed(mixed), "shingle")
-        enough = own.groupBy("vertex").agg(F.first("n").alias("n"), F.count("*").alias("rows")).where(F.col("rows") >= self.measure.shared(F.col("n"))).select("vertex")
-        return own.join(checkpointed(enough), "vertex", "left_semi")
+        return self._enough(labelled.join(checkpointed(mixed), "shingle"))
+
+    def _enough(self, rows: DataFrame) -> DataFrame:
+        """The rows of sets that have as many of them as any similar set shares."""
+        enough = rows.groupBy("vertex").agg(F.first("n").alias("n"), F.count("*").alias("rows")).where(F.col("rows") >= self.measure.shared(F.col("n"))).select("vertex")
+        return rows.join(checkpointed(enough), "vertex", "left_semi")
 
     def links(self, crossing: DataFrame, bitmaps: DataFrame, cover: bool) -> DataFrame:
         """Verified links between sets under different labels that share a prefix shingle; a forest of each tile.
@@ -512,7 +515,11 @@ class _Join:
         counts = tile.groupBy("shingle", "band").agg(F.count("*").alias("all"), F.count_if("upper").alias("above"), F.min("label").alias("low"), F.max("label").alias("high"), *rows)
         counts = counts.where("all > 1 and above < all and low < high").groupBy("band", "all", "rows1", "rows2").agg(F.min("shingle").alias("shingle"))
         counts = checkpointed(counts.select("shingle", "band", F.ceil(F.col("all") / BLOCK).cast("long").alias("blocks")))
-        dealt = tile.join(counts, ["shingle", "band"]).withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")))
+        # Joined by shingle before rows are repeated for their two bands; a shingle has no more tiles than there are bands.
+        tiles = counts.groupBy("shingle").agg(F.collect_list(F.struct("band", "blocks")).alias("tiles"))
+        dealt = crossing.join(tiles, "shingle").select("shingle", "vertex", "n", "label", F.col("band").alias("own"), F.explode("tiles").alias("tile"))
+        dealt = dealt.where((F.col("own") == F.col("tile.band")) | (F.col("own") - 1 == F.col("tile.band"))).select("shingle", "vertex", "n", "label", "tile.band", "tile.blocks", (F.col("own") > F.col("tile.band")).alias("upper"))
+        dealt = dealt.withColumn("block", F.pmod(F.xxhash64("vertex"), F.col("blocks")))
         dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         dealt = dealt.withColumn("i", F.least("block", "with")).withColumn("j", F.greatest("block", "with")).select(*PLACE)
         # Bitmaps and sets come last, so that they pass one exchange.
