@@ -277,7 +277,7 @@ def _cut_pieces(path: str, size: int, end_id: int, with_ids: bool):
 
         encoder, part = Encoder(path), TaskContext.get().partitionId()
         ranks = np.zeros(size + 1, np.int64)
-        for batch in chunks(batches):
+        for batch in chunks(batches, size=1 << 20):  # parts are Python strings, some ten times the text
             ids, counts = encoder.encode(batch.column("text").to_pylist())
             ids = np.insert(ids, np.cumsum(counts), np.uint32(end_id)).astype("<u4")
             total = counts + 1

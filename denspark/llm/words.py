@@ -8,6 +8,7 @@ Hashes are 64-bit and the same in every process and at every size.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -58,8 +59,17 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; a worker that is used again otherwise keeps the most that any task before held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc's
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``size`` bytes of text, one whole document at least."""
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue
