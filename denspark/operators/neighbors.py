@@ -21,6 +21,8 @@ from denspark.operators.points import Extent, dimension
 BLOCKED = 3
 #: Guard against rounding at a bucket's edge.
 WIDER = 1.0000001
+#: Pairs that a last round of ``knn`` may compare without any radius.
+ALL_PAIRS = 1 << 24
 
 
 def _bucketed(points: DataFrame, box: Extent, eps: float) -> tuple[DataFrame, list[str]]:
@@ -69,11 +71,33 @@ def box_query(points: DataFrame, low: list[float], high: list[float]) -> DataFra
     return points.where(in_box(columns(dimension(points)), low, high))
 
 
+def first_radius(points: DataFrame, box: Extent, k: int) -> float:
+    """A radius within which a point has about k neighbours where most points are.
+
+    Begins with what even density over the whole extent would give, and shrinks it for as
+    long as buckets of that width hold far more, counted over distinct points and weighted
+    by them; so a few far points don't make it cover the mass of the others.
+    """
+    dim = len(box.low)
+    widths = [h - m for h, m in zip(box.high, box.low, strict=True)]
+    least = (sum(w * w for w in widths) ** 0.5 or 1.0) * 1e-9
+    radius = max(max(widths) * (2.0 * k / box.rows) ** (1.0 / dim), least)
+    distinct = points.select(*columns(dim)).distinct()
+    while radius > least:
+        bucketed, names = _bucketed(distinct, box, radius)
+        held = bucketed.groupBy(*names).agg(F.count("*").cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")) / F.sum("n")).first()[0]
+        if held <= 16 * k:
+            break
+        radius = max(radius / max(2.0, (held / (2.0 * k)) ** (1.0 / len(names))), least)
+    return radius
+
+
 def knn(queries: DataFrame, points: DataFrame, k: int, box: Extent | None = None, start: float | None = None) -> DataFrame:
     """(id, near, d2, rank): the k nearest points of each query, ties to the lesser id, itself included if it is one of them.
 
     Searches within a radius and doubles it for the queries that have found fewer than k,
-    so no query is compared with all points unless the data force it.
+    so no query is compared with all points unless the data force it, or so few are left
+    that this is cheap.
     """
     from denspark.operators.points import extent
     from denspark.storage import checkpointed
@@ -82,11 +106,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, box: Extent | None = None
     here = extent(queries)
     if not here.rows or not box.rows:
         return queries.select("id", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("int").alias("rank")).limit(0)
+    radius = start or first_radius(points, box, k)
     box = Extent(box.rows, tuple(map(min, box.low, here.low)), tuple(map(max, box.high, here.high)))
-    dim = len(box.low)
-    widths = [h - m for h, m in zip(box.high, box.low, strict=True)]
-    spread = sum(w * w for w in widths) ** 0.5 or 1.0
-    radius = start or max(max(widths) * (2.0 * k / box.rows) ** (1.0 / dim), spread * 1e-9)
+    spread = sum((h - m) ** 2 for h, m in zip(box.high, box.low, strict=True)) ** 0.5 or 1.0
     wanted, left, parts = min(k, box.rows), queries, []
     by = Window.partitionBy("id").orderBy("d2", "r_id")
     while True:
@@ -96,9 +118,10 @@ def knn(queries: DataFrame, points: DataFrame, k: int, box: Extent | None = None
         full = ranked.where(F.col("rank") == wanted).select("id")
         parts.append(ranked.join(full, "id", "left_semi"))
         left = checkpointed(left.join(full, "id", "left_anti"))
-        if left.isEmpty():
+        remaining = left.count()
+        if not remaining:
             break
-        radius *= 2
+        radius = 2 * max(radius, spread) if remaining * box.rows <= ALL_PAIRS else 2 * radius
     out = reduce(DataFrame.unionByName, parts)
     return out.select("id", F.col("r_id").alias("near"), "d2", "rank")
 

@@ -40,6 +40,27 @@ def test_knn_finds_far_ones(spark):
     assert near[0, 2] == 1 and near[2, 2] == 3 and near[4, 1] == 4 and len(near) == 15
 
 
+@pytest.mark.parametrize("all_pairs", [0, 1 << 24])
+def test_knn_with_an_outlier_and_a_heap(spark, monkeypatch, all_pairs):
+    monkeypatch.setattr(neighbors, "ALL_PAIRS", all_pairs)
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.random((600, 2)), np.full((60, 2), 0.25), [[2e3, 2e3]]])
+    points = from_array(spark, x)
+    radius = neighbors.first_radius(points, extent(points), 4)
+    assert radius < 0.5  # of a mass that is 1 wide
+    assert neighbors.eps_pairs(points, extent(points), radius).count() < len(x) ** 2 / 4
+    found = sorted((r.id, r["rank"], r.near) for r in neighbors.knn(points, points, 4).collect())
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    want = [(i, k + 1, int(j)) for i in range(len(x)) for k, j in enumerate(np.lexsort((np.arange(len(x)), d2[i]))[:4])]
+    assert found == want
+
+
+def test_first_radius_of_one_place(spark):
+    points = from_array(spark, np.ones((50, 3)))
+    assert 0 < neighbors.first_radius(points, extent(points), 2) <= 1
+    assert neighbors.knn(points, points, 2).count() == 100
+
+
 def test_eps_pairs_any_dimension(spark):
     x = np.random.default_rng(5).uniform(-1, 1, (60, 6))
     points = from_array(spark, x)
