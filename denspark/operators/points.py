@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FloatType
 
 from denspark.functions.vectors import columns
 
@@ -35,7 +36,10 @@ def check_dim(dim: int, max_dims: int = 20) -> None:
 
 
 def to_points(df: DataFrame, features: Sequence[str | Column] | str, id_col: str, dim: int | None = None, max_dims: int = 20) -> DataFrame:
-    """Project to (id, c0, ...). Features are numeric columns, or one array column of ``dim`` numbers."""
+    """Project to (id, c0, ...). Features are numeric columns, or one array column of ``dim`` numbers; ids are whole numbers."""
+    kind = df.select(id_col).schema[0].dataType
+    if isinstance(kind, (DoubleType, FloatType)) or isinstance(kind, DecimalType) and kind.scale:
+        raise ValueError(f"{id_col} must hold whole numbers: others would fall together")
     if isinstance(features, str):
         if dim is None:
             raise ValueError("an array column needs its number of dimensions")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from denspark.storage import checkpointed
 
@@ -57,7 +58,10 @@ def split_stable(df: DataFrame, flag: str, order: str, out: str) -> DataFrame:
 
 
 def arg_max(df: DataFrame, value: str, index: str, last: bool = False) -> DataFrame:
-    """The index of the greatest value; of ties the first, or the last."""
+    """The index of the greatest value; of ties the first, or the last. An index that isn't a number takes a second pass for the first."""
+    if not last and not isinstance(df.schema[index].dataType, NumericType):
+        greatest = df.agg(F.max(value).alias("__greatest"))  # one row
+        return df.join(F.broadcast(greatest), F.col(value) == F.col("__greatest")).agg(F.min(index).alias("arg_max"))
     return df.agg(F.max_by(index, F.struct(value, F.col(index) if last else -F.col(index))).alias("arg_max"))
 
 

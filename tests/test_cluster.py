@@ -100,6 +100,11 @@ def test_bad_coordinates(spark, bad):
         dbscan(spark.createDataFrame([(1, 1.0, bad)], "id long, x double, y double"), ["x", "y"])
 
 
+def test_fractional_ids_are_refused(spark):
+    with pytest.raises(ValueError):
+        dbscan(spark.createDataFrame([(1.5, 1.0, 2.0), (1.25, 1.0, 2.0)], "id double, x double, y double"), ["x", "y"])
+
+
 def test_dimensions(spark):
     frame = spark.createDataFrame([(1, 1.0)], "id long, x double")
     with pytest.raises(ValueError):

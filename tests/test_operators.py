@@ -74,3 +74,10 @@ def test_scans_cross_ranges(spark):
     want = np.cumsum([i % 7 for i in range(200)])
     got = sorted(scans.scan(rows, "v", "id", "x", inclusive=True).collect())
     assert [r.x for r in got] == want.tolist()
+
+
+def test_extremes_of_named_rows(spark):
+    frame = spark.createDataFrame([("d", 2), ("b", 5), ("c", 5), ("a", 1)], "name string, v long")
+    assert scans.arg_max(frame, "v", "name").first()[0] == "b"
+    assert scans.arg_max(frame, "v", "name", last=True).first()[0] == "c"
+    assert scans.arg_min(frame, "v", "name").first()[0] == "a"
