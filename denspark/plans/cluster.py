@@ -71,6 +71,13 @@ class Stages:
 
         return self._once("places", make)
 
+    def of_points(self, places: DataFrame) -> DataFrame:
+        """The rows of a table of places, for each of a place's points once, with the point's id."""
+        if self.places.count() == self.box.rows:  # no two points are equal: a place's id is its point's
+            return places
+        at = self.points.join(self.places.select(*self.coordinates, F.col("id").alias("__place")), self.coordinates).select(F.col("id").alias("__point"), "__place")
+        return at.join(places, F.col("__place") == F.col("id")).select(F.col("__point").alias("id"), *[c for c in places.columns if c != "id"])
+
     @property
     def core(self) -> DataFrame:
         """Places that have ``min_samples`` points or more within eps, themselves included."""
@@ -157,7 +164,7 @@ class Stages:
 
     @property
     def core_labels(self) -> DataFrame:
-        """(id, coordinates, cell, label) of core places."""
+        """(id, coordinates, cell, label) of core places; ``of_points`` has their points."""
         return self._once("core_labels", lambda: self.owned.join(self.components, "cell").join(self.numbered, "root").select("id", *self.coordinates, *keys(self.dim), "label"))
 
     @property

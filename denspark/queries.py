@@ -104,8 +104,12 @@ def _clustered(s: Source):
 
 
 def _stage(s: Source, name: str, columns: list[str]):
+    """A stage's columns; those of a stage of places that are asked for by id, for every point."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return getattr(Stages(s.points(spark, sf_dir), s.eps, s.least), name).select(*columns)
+        stages = Stages(s.points(spark, sf_dir), s.eps, s.least)
+        rows = getattr(stages, name).select(*columns)
+        return stages.of_points(rows) if "id" in columns else rows
 
     return query
 
@@ -186,7 +190,7 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
             f"with {SUPPLIER.p}, r as (select a.id u, b.id v, {_d2(2)} d2 from p a, p b where a.id % 2 = 0 and b.id % 2 = 1) select u, v, d2 from r order by d2, u, v limit 1",
         ),
         "nearest_core": (
-            lambda s, d: neighbors.nearest_within((t := Stages(E2.points(s, d), E2.eps, E2.least)).points.join(t.core.select("id"), "id", "left_anti"), t.core.select("id", "c0", "c1"), t.box, E2.eps),
+            lambda s, d: neighbors.nearest_within((t := Stages(E2.points(s, d), E2.eps, E2.least)).points.join(t.of_points(t.core.select("id")), "id", "left_anti"), t.core.select("id", "c0", "c1"), t.box, E2.eps),
             f"with {_core(E2)}, r as (select a id, b near, d2, row_number() over (partition by a order by d2, b) rn from pr where b in (select id from core)) select p.id, r.near, r.d2 from p left join r on r.id = p.id and rn = 1 where p.id not in (select id from core)",
         ),
         # stages
@@ -197,7 +201,7 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
             f"with {_core(E2)} select x.k0, x.k1, y.k0 q0, y.k1 q1, min(d2) d2 from pr join g x on x.id = a join g y on y.id = b where a in (select id from core) and b in (select id from core) and row(x.k0, x.k1) < row(y.k0, y.k1) group by all",
         ),
         "components": (
-            lambda s, d: (t := Stages(E2.points(s, d), E2.eps, E2.least)).owned.join(t.components, "cell").groupBy("root").agg(F.min("id").alias("root_id"), F.count("*").alias("n")).select("root_id", "n"),
+            lambda s, d: (t := Stages(E2.points(s, d), E2.eps, E2.least)).owned.join(t.components, "cell").groupBy("root").agg(F.min("id").alias("root_id"), F.sum("times").alias("n")).select("root_id", "n"),
             f"with recursive {_components(E2)} select root root_id, count(*) n from comp group by root",
         ),
         "core_labels": (_stage(E2B, "core_labels", ["id", "label"]), f"with recursive {_labelled(E2B)} select id, label from res where is_core"),
