@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from denspark.functions.vectors import cell_index, columns, dist_sqr, in_box
 from denspark.operators.points import Extent, dimension
+from denspark.storage import checkpointed
 
 #: Dimensions that are bucketed; 3 ** this is how often the left side is repeated.
 BLOCKED = 3
@@ -52,7 +53,14 @@ def eps_pairs(points: DataFrame, box: Extent, eps: float) -> DataFrame:
 
 
 def eps_counts(points: DataFrame, box: Extent, eps: float) -> DataFrame:
-    return eps_pairs(points, box, eps).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
+    """(id, n): how many points are within eps of each, itself included.
+
+    Equal points are one place with a multiplicity, so their pairs aren't made.
+    """
+    at = [f"c{i}" for i in range(dimension(points))]
+    places = checkpointed(points.groupBy(*at).agg(F.count("*").alias("times")))
+    counted = eps_join(places.select(*at), places, box, eps).groupBy(*at).agg(F.sum("r_times").alias("n"))
+    return points.join(counted, at).select("id", "n")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, box: Extent, eps: float) -> DataFrame:
@@ -100,7 +108,6 @@ def knn(queries: DataFrame, points: DataFrame, k: int, box: Extent | None = None
     that this is cheap.
     """
     from denspark.operators.points import extent
-    from denspark.storage import checkpointed
 
     box = box or extent(points)
     here = extent(queries)

@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 
 from denspark import queries
+from denspark.operators import neighbors
+from denspark.operators.points import extent, from_array
 
 STAGES = ["core_points", "core_cells", "core_closest_pairs", "core_labels", "border_labels", "nearest_core", "components", "noise_points", "core_components"]
 
@@ -49,3 +51,20 @@ def same_rows(spark, folder, name):
 @pytest.mark.parametrize("name", STAGES)
 def test_stages_have_every_point(spark, folder, name):
     same_rows(spark, folder, name)
+
+
+def test_counts_of_equal_points(spark, folder):
+    same_rows(spark, folder, "eps_counts")
+
+
+def test_counts_make_no_pairs_of_equal_points(spark, monkeypatch):
+    made, join = [], neighbors.eps_join
+
+    def watched(left, right, box, eps):
+        made.append(join(left, right, box, eps))
+        return made[-1]
+
+    monkeypatch.setattr(neighbors, "eps_join", watched)
+    points = from_array(spark, np.repeat(np.array([(0, 0), (0.5, 0), (5, 0)], float), 40, axis=0))
+    assert sorted((r.id, r.n) for r in neighbors.eps_counts(points, extent(points), 1.0).collect()) == [(i, 80 if i < 80 else 40) for i in range(120)]
+    assert sum(m.count() for m in made) == 5
