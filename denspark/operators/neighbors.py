@@ -113,13 +113,19 @@ def knn(queries: DataFrame, points: DataFrame, k: int, box: Extent | None = None
     here = extent(queries)
     if not here.rows or not box.rows:
         return queries.select("id", F.lit(None).cast("long").alias("near"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("int").alias("rank")).limit(0)
-    radius = start or first_radius(points, box, k)
+    # Equal queries have one answer, and of equal points only the k least ids can be in any.
+    at = [f"c{i}" for i in range(len(box.low))]
+    held = points.withColumn("__nth", F.row_number().over(Window.partitionBy(*at).orderBy("id"))).where(F.col("__nth") <= k).drop("__nth")
+    held = checkpointed(held)
+    rows = held.count()
+    asked = checkpointed(queries.groupBy(*at).agg(F.min("id").alias("id")))
+    radius = start or first_radius(held, box, k)
     box = Extent(box.rows, tuple(map(min, box.low, here.low)), tuple(map(max, box.high, here.high)))
     spread = sum((h - m) ** 2 for h, m in zip(box.high, box.low, strict=True)) ** 0.5 or 1.0
-    wanted, left, parts = min(k, box.rows), queries, []
+    wanted, left, parts = min(k, box.rows), asked, []
     by = Window.partitionBy("id").orderBy("d2", "r_id")
     while True:
-        near = eps_join(left, points, box, radius).select("id", "r_id", "d2")
+        near = eps_join(left, held, box, radius).select("id", "r_id", "d2")
         ranked = near.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= wanted)
         ranked = checkpointed(ranked)
         full = ranked.where(F.col("rank") == wanted).select("id")
@@ -128,9 +134,9 @@ def knn(queries: DataFrame, points: DataFrame, k: int, box: Extent | None = None
         remaining = left.count()
         if not remaining:
             break
-        radius = 2 * max(radius, spread) if remaining * box.rows <= ALL_PAIRS else 2 * radius
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select("id", F.col("r_id").alias("near"), "d2", "rank")
+        radius = 2 * max(radius, spread) if remaining * rows <= ALL_PAIRS else 2 * radius
+    out = reduce(DataFrame.unionByName, parts).join(asked, "id").select(*at, F.col("r_id").alias("near"), "d2", "rank")
+    return queries.select("id", *at).join(out, at).select("id", "near", "d2", "rank")
 
 
 def closest_pair(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -68,3 +68,22 @@ def test_counts_make_no_pairs_of_equal_points(spark, monkeypatch):
     points = from_array(spark, np.repeat(np.array([(0, 0), (0.5, 0), (5, 0)], float), 40, axis=0))
     assert sorted((r.id, r.n) for r in neighbors.eps_counts(points, extent(points), 1.0).collect()) == [(i, 80 if i < 80 else 40) for i in range(120)]
     assert sum(m.count() for m in made) == 5
+
+
+def test_nearest_of_equal_points(spark, folder):
+    same_rows(spark, folder, "knn")
+    same_rows(spark, folder, "closest_pair")
+
+
+def test_nearest_take_k_of_equal_points(spark, monkeypatch):
+    made, join = [], neighbors.eps_join
+
+    def watched(left, right, box, eps):
+        made.append(join(left, right, box, eps))
+        return made[-1]
+
+    monkeypatch.setattr(neighbors, "eps_join", watched)
+    points = from_array(spark, np.repeat(np.array([(0, 0), (0.5, 0), (5, 0)], float), 40, axis=0))
+    found = sorted((r.id, r["rank"], r.near) for r in neighbors.knn(points, points, 3).collect())
+    assert found == [(i, k + 1, i // 40 * 40 + k) for i in range(120) for k in range(3)]
+    assert sum(m.count() for m in made) <= 27
