@@ -63,6 +63,19 @@ def eps_counts(points: DataFrame, box: Extent, eps: float) -> DataFrame:
     return points.join(counted, at).select("id", "n")
 
 
+def eps_links(points: DataFrame, box: Extent, eps: float) -> DataFrame:
+    """Links (a, b) that join the same points into the same components as ``eps_pairs``, without the pairs of equal points.
+
+    The least ids of different places within eps are linked once; every other point is
+    linked with the least id of its place.
+    """
+    at = [f"c{i}" for i in range(dimension(points))]
+    places = checkpointed(points.groupBy(*at).agg(F.min("id").alias("id")))
+    between = eps_join(places, places, box, eps).where("id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"))
+    copies = points.join(places.withColumnRenamed("id", "place"), at).where("id <> place").select(F.col("place").alias("a"), F.col("id").alias("b"))
+    return between.unionByName(copies)
+
+
 def nearest_within(left: DataFrame, right: DataFrame, box: Extent, eps: float) -> DataFrame:
     """(id, near, d2): the nearest right point within eps of each left one, ties to the least id; null where there is none."""
     best = eps_join(left, right, box, eps).groupBy("id").agg(F.min(F.struct("d2", "r_id")).alias("best"))

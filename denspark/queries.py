@@ -224,7 +224,7 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
         "standard_scale": (_on(E2, lambda p: metrics.standard_scale(p, ["c0", "c1"]).select("id", F.round("c0", 9).alias("c0"), F.round("c1", 9).alias("c1"))), f"with {E2.p}, s as (select avg(c0) a0, stddev_pop(c0) s0, avg(c1) a1, stddev_pop(c1) s1 from p) select id, round((c0-a0)/s0, 9) c0, round((c1-a1)/s1, 9) c1 from p, s"),
         # graph
         "least_reachable": (
-            lambda s, d: least_reachable(neighbors.eps_pairs(p := SUPPLIER.points(s, d), extent(p), 0.4).select("a", "b")),
+            lambda s, d: least_reachable(neighbors.eps_links(p := SUPPLIER.points(s, d), extent(p), 0.4)),
             f"with recursive {SUPPLIER.p}, e as materialized (select a.id a, b.id b from p a join p b on {_d2(2)} <= {_num(0.4 * 0.4)} and a.id <> b.id), cc(id, root) as (select a, a from e union select e.b, cc.root from cc join e on e.a = cc.id where cc.root < e.b) select id vertex, min(root) as label from cc group by id",
         ),
         "spanning_forest_size": (

@@ -1,5 +1,7 @@
 """Queries against DuckDB on points of which many are equal."""
 
+from dataclasses import replace
+
 import duckdb
 import numpy as np
 import pytest
@@ -87,3 +89,22 @@ def test_nearest_take_k_of_equal_points(spark, monkeypatch):
     found = sorted((r.id, r["rank"], r.near) for r in neighbors.knn(points, points, 3).collect())
     assert found == [(i, k + 1, i // 40 * 40 + k) for i in range(120) for k in range(3)]
     assert sum(m.count() for m in made) <= 27
+
+
+@pytest.mark.parametrize("name", ["least_reachable"])
+def test_components_of_equal_points(spark, folder, name):
+    same_rows(spark, folder, name)
+
+
+@pytest.mark.parametrize("name", ["least_reachable"])
+def test_components_take_few_links(spark, folder, monkeypatch, name):
+    """Forty copies of each place: a link for each point, not for each pair."""
+    out, connection = folder
+    more = f"{out}/{name}"
+    connection.execute(f"copy (select s_suppkey + 1000 * k s_suppkey, s_acctbal, s_nationkey from supplier, range(40) r(k)) to '{more}.parquet'")
+    monkeypatch.setattr(queries, "SUPPLIER", replace(queries.SUPPLIER, table=name))
+    taken, made = [], getattr(queries, {"least_reachable": "least_reachable", "spanning_forest_size": "spanning_forest"}[name])
+    monkeypatch.setattr(queries, made.__name__, lambda links: taken.append(links) or made(links))
+    found = queries.QUERIES[name](spark, out).collect()
+    copies = connection.execute(f"select count(*), count(distinct (s_acctbal, s_nationkey)) from '{more}.parquet'").fetchall()[0]
+    assert found and taken[0].count() <= copies[0] + copies[1] ** 2
