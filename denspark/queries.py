@@ -228,7 +228,7 @@ def _query_points() -> dict[str, tuple[Callable, str]]:
             f"with recursive {SUPPLIER.p}, e as materialized (select a.id a, b.id b from p a join p b on {_d2(2)} <= {_num(0.4 * 0.4)} and a.id <> b.id), cc(id, root) as (select a, a from e union select e.b, cc.root from cc join e on e.a = cc.id where cc.root < e.b) select id vertex, min(root) as label from cc group by id",
         ),
         "spanning_forest_size": (
-            lambda s, d: spanning_forest(neighbors.eps_pairs(p := SUPPLIER.points(s, d), extent(p), 0.4).select("a", "b")).agg(F.count("*").alias("n")),
+            lambda s, d: spanning_forest(neighbors.eps_links(p := SUPPLIER.points(s, d), extent(p), 0.4)).agg(F.count("*").alias("n")),
             f"with recursive {SUPPLIER.p}, e as materialized (select a.id a, b.id b from p a join p b on {_d2(2)} <= {_num(0.4 * 0.4)} and a.id <> b.id), cc(id, root) as (select a, a from e union select e.b, cc.root from cc join e on e.a = cc.id where cc.root < e.b), l as (select id, min(root) root from cc group by id) select count(*) - count(distinct root) n from l",
         ),
         # scans over an order

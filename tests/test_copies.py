@@ -91,12 +91,12 @@ def test_nearest_take_k_of_equal_points(spark, monkeypatch):
     assert sum(m.count() for m in made) <= 27
 
 
-@pytest.mark.parametrize("name", ["least_reachable"])
+@pytest.mark.parametrize("name", ["least_reachable", "spanning_forest_size"])
 def test_components_of_equal_points(spark, folder, name):
     same_rows(spark, folder, name)
 
 
-@pytest.mark.parametrize("name", ["least_reachable"])
+@pytest.mark.parametrize("name", ["least_reachable", "spanning_forest_size"])
 def test_components_take_few_links(spark, folder, monkeypatch, name):
     """Forty copies of each place: a link for each point, not for each pair."""
     out, connection = folder
