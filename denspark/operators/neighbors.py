@@ -34,22 +34,36 @@ def _bucketed(points: DataFrame, box: Extent, eps: float) -> tuple[DataFrame, li
     return points.withColumns(dict(zip(names, index, strict=True))), names
 
 
-def eps_join(left: DataFrame, right: DataFrame, box: Extent, eps: float) -> DataFrame:
-    """Pairs of rows of two point tables within eps: all columns, the right ones with an ``r_`` before them, and ``d2``."""
+def eps_join(left: DataFrame, right: DataFrame, box: Extent, eps: float, halved: bool = False) -> DataFrame:
+    """Pairs of rows of two point tables within eps: all columns, the right ones with an ``r_`` before them, and ``d2``.
+
+    halved: of a table with itself, each pair in one order only, a row with itself included;
+    a bucket asks itself and the half of the buckets next to it that come after it.
+    """
     dim = dimension(left)
     asking, names = _bucketed(left, box, eps)
     held, _ = _bucketed(right, box, eps)
-    steps = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip(names, o, strict=True)]) for o in itertools.product((-1, 0, 1), repeat=len(names))])
-    asking = asking.withColumn("step", F.explode(steps)).withColumns({n: F.col(n) + F.col(f"step.{n}") for n in names}).drop("step")
+    own = (0,) * len(names)
+    steps = F.array(*[F.struct(*[F.lit(x).cast("long").alias(n) for n, x in zip(names, o, strict=True)], F.lit(o == own).alias("own")) for o in itertools.product((-1, 0, 1), repeat=len(names)) if not halved or o >= own])
+    asking = asking.withColumn("step", F.explode(steps)).withColumns({n: F.col(n) + F.col(f"step.{n}") for n in names} | ({"own": F.col("step.own")} if halved else {})).drop("step")
     held = held.select(*names, *[F.col(c).alias(f"r_{c}") for c in right.columns])
     near = asking.join(held, names).drop(*names)
+    if halved:
+        near = near.where(~F.col("own") | (F.col("id") <= F.col("r_id")))
     d2 = dist_sqr(columns(dim), columns(dim, "r_c"))
     return near.withColumn("d2", d2).where(F.col("d2") <= F.lit(float(eps) * float(eps)))
 
 
 def eps_pairs(points: DataFrame, box: Extent, eps: float) -> DataFrame:
-    """(a, b, d2) for all ordered pairs within eps, each point with itself included."""
-    return eps_join(points, points, box, eps).select(F.col("id").alias("a"), F.col("r_id").alias("b"), "d2")
+    """(a, b, d2) for all ordered pairs within eps, each point with itself included.
+
+    A pair is found once and given in both orders one after the other, where its distance
+    compresses to one.
+    """
+    both = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"), "d2")
+    pairs = eps_join(points.select("id", *columns(dimension(points))), points, box, eps, halved=True)
+    one = F.col("own") & (F.col("id") == F.col("r_id"))
+    return pairs.select(F.inline(F.when(one, F.array(both("id", "r_id"))).otherwise(F.array(both("id", "r_id"), both("r_id", "id")))))
 
 
 def eps_counts(points: DataFrame, box: Extent, eps: float) -> DataFrame:

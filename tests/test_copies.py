@@ -108,3 +108,21 @@ def test_components_take_few_links(spark, folder, monkeypatch, name):
     found = queries.QUERIES[name](spark, out).collect()
     copies = connection.execute(f"select count(*), count(distinct (s_acctbal, s_nationkey)) from '{more}.parquet'").fetchall()[0]
     assert found and taken[0].count() <= copies[0] + copies[1] ** 2
+
+
+@pytest.mark.parametrize("name", ["eps_pairs", "eps_pairs_5d"])
+def test_pairs_of_equal_points(spark, folder, name):
+    same_rows(spark, folder, name)
+
+
+def test_pairs_are_compared_once(spark, monkeypatch):
+    made, join = [], neighbors.eps_join
+
+    def watched(*args, **more):
+        made.append(join(*args, **more))
+        return made[-1]
+
+    monkeypatch.setattr(neighbors, "eps_join", watched)
+    points = from_array(spark, np.random.default_rng(3).uniform(-1, 1, (80, 5)))
+    n = neighbors.eps_pairs(points, extent(points), 0.7).count()
+    assert n > 80 and sum(m.count() for m in made) == (n + 80) // 2
